@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import mixing
+from pairfold.llm import licences, mixing, tokens
 from pairfold.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,49 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are on the driver; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under piece_bpe_32k.model."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
+@query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every whole text."""
+    got = licences.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), "licence", F.array_join("licences", ",").alias("licences"))
+
+
+def _licence_oracle() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = licences.known_sentences()
+    pairs = ", ".join(f"({quoted(s)}, {quoted(n)})" for s, n in known.items())
+    rules = ", ".join(f"({k}, {quoted(name)}, {quoted(',' + ','.join(run) + ',')})" for k, (name, run) in enumerate(licences.RULES))
+    return f"""
+WITH known(sentence, name) AS (VALUES {pairs}),
+rules(k, licence, run) AS (VALUES {rules}),
+s AS (
+  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '([.;:!?])[ \t\r\n]+', E'\\1\n', 'g'), E'\n') AS cut FROM documents),
+e AS (SELECT doc_id, unnest(cut) AS sentence, generate_subscripts(cut, 1) AS place FROM s),
+n AS (SELECT doc_id, place, name FROM (SELECT doc_id, place, trim(regexp_replace(sentence, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM e) JOIN known USING (sentence)),
+i AS (SELECT doc_id, count(*) AS n_sentences, string_agg(name, ',' ORDER BY place) AS ids FROM n GROUP BY doc_id),
+m AS (SELECT doc_id, licence, min(k) AS k FROM i JOIN rules ON contains(',' || ids || ',', run) GROUP BY ALL),
+l AS (SELECT doc_id, arg_min(licence, k) AS licence, string_agg(licence, ',' ORDER BY k) AS licences FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, licence, coalesce(licences, '') AS licences
+FROM documents LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+ORACLES["op6_licence_scan"] = _licence_oracle()
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources at 150 % of all words."""
