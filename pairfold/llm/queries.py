@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import licences, mixing, tokens
-from pairfold.llm.common import table
+from pairfold.llm import decontaminate, language, licences, mixing, quality, tokens
+from pairfold.llm.common import crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,6 +30,33 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that stand in windows of 10 words of the benchmark."""
+    got = decontaminate.with_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), n=10)
+    hit = decontaminate.n_hit()
+    items = F.col("__overlap.items")
+    return got.select("doc_id", F.col("__overlap.n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    known = language.learn(docs.where(~held_out))
+    return language.identify(docs, known).withColumn("held_out", held_out)
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text, learned from two thirds of the labelled rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 3) == 1
+    got = quality.classify(docs, labels.where(~held_out))
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every whole text."""

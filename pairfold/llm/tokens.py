@@ -186,10 +186,10 @@ class Counter:
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row; the merges (some MB) are broadcast."""
     spark = docs.sparkSession
-    merges = spark.sparkContext.broadcast(read_pieces(model_path))
+    merges = spark.sparkContext.broadcast(vars(read_pieces(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(merges.value)
+        counter = Counter(Merges(**merges.value))
         for batch in batches:
             tokens, group, chars = [], [], 0
             for value in batch.column(1):
