@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import decontaminate, language, licences, mixing, quality, tokens
+from pairfold.llm import decontaminate, language, licences, lm, mixing, quality, tokens
 from pairfold.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -17,6 +17,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted-interpolation scores of every whole text, learned from six sevenths of them."""
+    held_out = crc_mod("doc_id", 7) == 2
+    got = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary files are on the driver; operators take the path as a parameter."""
     import public_tokenizers
