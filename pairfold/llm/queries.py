@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import decontaminate, language, licences, lm, mixing, quality, tokens
+from pairfold.llm import decontaminate, language, licences, lm, mixing, quality, substrings, tokens
 from pairfold.llm.common import crc_mod, table
+from pairfold.llm.substrings import without_spans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,6 +105,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the 50-byte strings of documents before it."""
+
+    def digest(body: bytes | None, starts, ends) -> tuple:
+        body = body or b""
+        kept = without_spans(body, starts, ends)
+        return len(body), len(body) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
+
+    got = substrings.repeats(table(spark, sf_dir, "documents"), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return got.withColumnRenamed("key", "doc_id")
+
+
 ORACLES["op8_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
