@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import decontaminate, language, licences, lm, mixing, quality, substrings, tokens
+from pairfold.llm import decontaminate, jaccard, language, licences, lm, mixing, quality, substrings, tokens
 from pairfold.llm.common import crc_mod, table
 from pairfold.llm.substrings import without_spans
 
@@ -28,6 +28,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all whole texts under links of 75 % Jaccard similarity of 5-word shingles."""
+    return jaccard.similar(table(spark, sf_dir, "documents"), percent=75, shingle=5)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary files are on the driver; operators take the path as a parameter."""
     import public_tokenizers
