@@ -148,7 +148,7 @@ def send(chunks: DataFrame, emit: Callable[[dict], list[tuple]], n_values: int)
     return chunks.mapInArrow(run, f"part int, chunk long, level int, names binary{''.join(f', v{k} binary' for k in range(n_values))}")
 
 
-def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray], n_values: int, label: str, summary: Callable[[int, np.ndarray], int] | None = None) -> DataFrame:
+def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray], n_values: int, label: str, ranges: int, summary: Callable[[int, np.ndarray], int] | None = None) -> DataFrame:
     """(chunk, part, level, result): the results for the names of each blob, in its order; stored.
 
     ``combine(level, starts, values)`` gets the values sorted by name, with the start of each name's
@@ -174,7 +174,7 @@ def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarra
                 out.append((-1, rows.part.iloc[0], level, pack_ints(np.array([summary(int(level), result)]))))
         return pd.DataFrame(out, columns=["chunk", "part", "level", "result"])
 
-    return stored(sent.groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
+    return stored(sent.repartition(ranges, "part").groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
 
 
 def with_results(chunks: DataFrame, *results: DataFrame) -> DataFrame:

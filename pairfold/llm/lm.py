@@ -131,7 +131,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, em_steps: int = 60, ke
             out += blobs(row["chunk"], level, names, [n], ranges)
         return out
 
-    sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", lambda level, result: int((result > 0).sum()))
+    sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()))
     distinct = sum(int(unpack_ints(r.result)[0]) for r in sums.where("chunk = -1 AND level = 1").select("result").toLocalIterator())
     size = table.select(F.explode(F.arrays_zip("train", "n_words")).alias("d")).where("d.train").agg(F.sum(F.col("d.n_words") + 1), F.count("*")).first()
     total, texts = int(size[0] or 0), int(size[1])

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairfold.llm import decontaminate, jaccard, language, licences, lm, mixing, quality, substrings, tokens
+from pairfold.llm import decontaminate, embeddings, jaccard, language, licences, lm, mixing, quality, substrings, tokens
 from pairfold.llm.common import crc_mod, table
 from pairfold.llm.substrings import without_spans
 
@@ -124,6 +124,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("key", "doc_id")
 
 
+@query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label at a cosine of 0.98 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 ORACLES["op8_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -251,14 +251,15 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         distinct, least, _ = _least(names, owner)
         return blobs(row["chunk"], 1, distinct, [least], ranges)
 
-    first = combined(send(bare, initial, 1), lambda level, starts, v: (np.add.reduceat(v[0], starts) > 1).astype(np.int64), 1, "substrings-1")
+    first = combined(send(bare, initial, 1), lambda level, starts, v: (np.add.reduceat(v[0], starts) > 1).astype(np.int64), 1, "substrings-1", ranges)
     second = combined(
         send(with_results(bare, first), refined, 2),
         lambda level, starts, v: np.minimum.reduceat(v[0], starts) if level == 1 else (np.minimum.reduceat(v[0], starts) < np.maximum.reduceat(v[1], starts)).astype(np.int64),
         2,
         "substrings-2",
+        ranges,
     )
-    third = combined(send(with_results(bare, first, second), last, 1), lambda level, starts, v: np.minimum.reduceat(v[0], starts), 1, "substrings-3")
+    third = combined(send(with_results(bare, first, second), last, 1), lambda level, starts, v: np.minimum.reduceat(v[0], starts), 1, "substrings-3", ranges)
 
     def spans(row: dict) -> dict[str, list]:
         s = Stretches(row, length, gram)
