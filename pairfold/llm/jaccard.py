@@ -197,9 +197,14 @@ def similar(docs: DataFrame, percent: int = 75, shingle: int = 5, key: str = "do
 def representatives(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """``docs`` without the documents of a component but the one with the least doc_id.
 
-    Of several rows with that doc_id, equal ones are one; documents without words all stay, and so do
-    those without a doc_id.
+    Of rows that agree in doc_id and text one stays; rows of one doc_id with different texts stay or
+    go together. Documents without words stay, and so do those without a doc_id.
     """
-    got = similar(docs, percent, shingle).where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id")
-    gone = got.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    got = similar(docs, percent, shingle).where("doc_id <> component_id")
+    gone = stored(got.select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    if not twice.limit(1).count():
+        return kept
+    same = F.col("doc_id") == F.col("__twice")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The statistics of every whole text are computed in one pass over the documents. The trees are
-fitted with numpy on a bounded sample of labelled rows, the ``sample`` rows of least hash; histograms
-of gradients over at most 64 bins per statistic choose the splits. A fitted model is flat arrays of
+The trees are fitted with numpy on a bounded sample of labelled rows, the ``sample`` labels of least
+hash; histograms of gradients over at most 64 bins per statistic choose the splits. The statistics
+of every whole text are computed and scored in one pass over the documents. A fitted model is flat arrays of
 complete trees, which are broadcast (some kB) and traversed for whole batches at once.
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other; null labels
@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import stored
-
 STATISTICS = [
     "log_bytes", "log_words", "mean_word", "long_words", "distinct_words", "top_word", "repeats", "distinct_pairs",
     "upper", "digits", "marks", "spaces", "beyond_ascii", "controls", "bangs", "pipes", "brackets", "hashes", "stops", "commas",
@@ -130,40 +128,37 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
     return Trees(*(np.stack(t) for t in zip(*trees, strict=True)), empty.base)
 
 
-def learn(measured: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", label: str = "quality") -> Trees:
-    """Fit to ``sample`` labelled rows at most: those whose key has the least hash."""
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).alias("label"))
-    rows = measured.join(marked, "key").orderBy(F.xxhash64("key"), "key", "label").limit(sample).select("x", "label").collect()
-    x = np.array([r.x for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r.label for r in rows], dtype=np.float64))
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
+    """Fit to ``sample`` labelled rows at most: the labels whose key has the least hash.
 
+    The sample of labels is broadcast, bounded by its number of rows, so that only its documents are
+    measured.
+    """
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__of"), F.col(label).alias("__label"))
+    marked = marked.orderBy(F.xxhash64("__of"), "__of", "__label").limit(sample)
+    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(marked), F.col("__key") == F.col("__of"))
+    rows = measure(found.select(F.struct("__key", "__label").alias("key"), "__text"), "key", "__text").select("key.__key", "key.__label", "x").collect()
+    rows.sort(key=lambda r: (r["__key"], r["__label"], r["x"]))  # the order of the rows must not change the sums
+    x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r["__label"] for r in rows], dtype=np.float64))
 
-def scored(measured: DataFrame, trees: Trees) -> DataFrame:
-    """(key, score) of every measured row."""
-    shared = measured.sparkSession.sparkContext.broadcast(vars(trees))
+
+def classify(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees(**shared.value)
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(STATISTICS))
+            x = np.array([statistics(t.as_py()) for t in batch.column(1).cast(pa.binary())]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x), pa.float64())], ["key", "score"])
 
-    return measured.mapInArrow(run, f"key {measured.schema['key'].dataType.simpleString()}, score double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000) -> DataFrame:
-    """(key, score) of every row. ``train``: the keys whose labels may be learned; all if None."""
-    measured = stored(measure(docs, key, text), "quality")
-    marked = labels if train is None else labels.join(train.select(key).distinct(), key, "left_semi")
-    return scored(measured, learn(measured, marked, sample, key, label)).withColumnRenamed("key", key)
-
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
-    """The documents that the classifier does not reject, as they were.
 
-    The statistics ride along with the rows, so that each text is kept or dropped where it is read.
-    """
-    trees = learn(stored(measure(docs), "quality"), labels, sample)
+def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
+    """The documents that the classifier does not reject, as they were; each is judged where it is read."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
     column = docs.columns.index("text")
 
