@@ -1,0 +1 @@
+"""Registered queries over the star-schema tables, with their SQL oracles."""

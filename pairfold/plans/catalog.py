@@ -1,6 +1,533 @@
-"""Registry of the engine's queries over the star-schema tables and their SQL oracles."""
+"""Registry of the engine's queries over the star-schema tables and their SQL oracles.
+
+Each query applies an operator to its whole table. Sums that are compared to SQL are made of whole
+units of the sixth decimal, so that they do not depend on the order of rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairfold.functions import masks, scalars
+from pairfold.functions.geometry import Cell
+from pairfold.functions.scalars import exact_sum
+from pairfold.operators import collection, domains, grid, pairs, reduce, series, steps, terms
+from pairfold.streaming import refresh, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fx(x: str) -> str:
+    """exact_sum in SQL."""
+    return f"(sum(cast(floor(({x})*1e6+0.5) as bigint))::bigint/1e6)"
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINES = ", ".join(LINE)
+
+
+# Rows: maps, sums, selections, lookups.
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
+def map_revenue(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+
+
+@query(f"SELECT {fx('l_quantity')} AS quantity, {fx('l_extendedprice * (1 - l_discount)')} AS revenue, {fx('l_tax')} AS tax, bool_or(l_returnflag = 'R') AS any_returned FROM lineitem")
+def sum_revenue(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.agg(exact_sum("l_quantity").alias("quantity"), exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), exact_sum("l_tax").alias("tax"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE ((c_custkey BETWEEN 1 AND 100 OR c_custkey BETWEEN 200 AND 400 OR c_custkey = 1000) AND (c_mktsegment LIKE 'B%' OR c_mktsegment = 'MACHINERY')) OR (c_mktsegment LIKE 'F_RNITURE' AND NOT c_custkey BETWEEN 1 AND 1200)")
+def mask_customers(spark, d):
+    number, name = lambda x: masks.numbers("c_custkey", x), lambda *x: masks.names("c_mktsegment", *x)
+    return table(spark, d, "customer").where((number("1-100,200-400,1000") & name("B*", "MACHINERY")) | (name("F?RNITURE") & ~number("1-1200"))).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def lookup_nation(spark, d):
+    nations = table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    regions = table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return reduce.lookup(reduce.lookup(table(spark, d, "customer"), nations, ["c_nationkey"]), regions, ["n_regionkey"]).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey BETWEEN 10 AND 14 THEN 3.0 WHEN s_acctbal < 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM supplier")
+def mask_parameters(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", masks.chosen(1.0, (F.col("s_acctbal") < 0, 2.0), (masks.numbers("s_nationkey", "10-14"), 3.0)).alias("weight"))
+
+
+# Pairs.
+
+CUT = 0.055
+HOUR = "((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 3600.0::DOUBLE)"
+_pairs = f"SELECT a.event_id AS i, b.event_id AS j, a.value - b.value AS d, a.event_type AS ti, b.event_type AS tj, a.user_id AS ui, b.user_id AS uj FROM events a JOIN events b ON a.event_id < b.event_id AND a.value - b.value < {CUT} AND b.value - a.value < {CUT} WHERE (a.value - b.value) * (a.value - b.value) < {CUT}::DOUBLE * {CUT}::DOUBLE"
+KERNEL = f"(1 - r2 / {CUT * CUT!r}::DOUBLE) * (1 - r2 / {CUT * CUT!r}::DOUBLE)"
+
+
+def _value_pairs(spark, d, **more):
+    return pairs.range_pairs(table(spark, d, "events"), "event_id", ["value"], CUT, **more)
+
+
+def _kernel():
+    r2 = F.col("dvalue") * F.col("dvalue")
+    return (1 - r2 / (CUT * CUT)) * (1 - r2 / (CUT * CUT))
+
+
+def _hours(spark, d):
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    return table(spark, d, "events").withColumn("h", seconds / F.lit(3600.0))
+
+
+@query(f"WITH p AS ({_pairs}) SELECT i, j, sqrt(d * d) AS r FROM p")
+def range_pairs_value(spark, d):
+    return _value_pairs(spark, d).select("i", "j", "r")
+
+
+@query(f"""WITH e AS (SELECT event_id, {HOUR} AS h FROM events),
+n AS (SELECT a.event_id AS i, b.event_id AS j, a.h - b.h - 24.0::DOUBLE * round_even((a.h - b.h) / 24.0::DOUBLE, 0) AS d FROM e a JOIN e b ON a.event_id < b.event_id AND ((a.h - b.h < 0.01 AND b.h - a.h < 0.01) OR a.h - b.h > 23.9 OR b.h - a.h > 23.9))
+SELECT i, j, sqrt(d * d) AS r FROM n WHERE d * d < 0.005::DOUBLE * 0.005::DOUBLE""")
+def range_pairs_periodic(spark, d):
+    return pairs.range_pairs(_hours(spark, d), "event_id", ["h"], 0.005, Cell((24.0,))).select("i", "j", "r")
+
+
+@query(f"WITH p AS ({_pairs}) SELECT i, j FROM p WHERE ui <> uj")
+def pairs_excluding(spark, d):
+    events = table(spark, d, "events")
+    mine = lambda c: events.select("user_id", F.col("event_id").alias(c))
+    return pairs.excluding(_value_pairs(spark, d), mine("i").join(mine("j"), "user_id").where("i < j")).select("i", "j")
+
+
+@query(f"WITH p AS ({_pairs}) SELECT i, j FROM p WHERE (ti = 'click' AND tj = 'purchase') OR (ti = 'purchase' AND tj = 'click')")
+def pairs_groups(spark, d):
+    return _value_pairs(spark, d, left=F.col("event_type") == "click", right=F.col("event_type") == "purchase").select("i", "j")
+
+
+@query(f"""WITH p AS ({_pairs}), k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS kind FROM (SELECT DISTINCT event_type FROM events))
+SELECT (greatest(a.kind, b.kind) * (greatest(a.kind, b.kind) + 1) // 2 + least(a.kind, b.kind))::BIGINT AS segment, count(*) AS n FROM p JOIN k a ON ti = a.event_type JOIN k b ON tj = b.event_type GROUP BY 1""")
+def kind_pair_segments(spark, d):
+    events = table(spark, d, "events")
+    kinds = collection.places(events.select("event_type").distinct(), ["event_type"], "kind")
+    found = pairs.range_pairs(reduce.lookup(events, kinds, ["event_type"]), "event_id", ["value"], CUT, carry=["kind"])
+    return found.groupBy(pairs.segment(F.col("i_kind"), F.col("j_kind")).alias("segment")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS (SELECT *, d * d AS r2 FROM ({_pairs})) SELECT count(*) AS n, {fx(KERNEL)} AS total FROM p")
+def pair_sum_kernel(spark, d):
+    return _value_pairs(spark, d).agg(F.count("*").alias("n"), exact_sum(_kernel()).alias("total"))
+
+
+@query(f"""WITH p AS (SELECT *, d * d AS r2 FROM ({_pairs})), s AS (SELECT i AS event_id, r2 FROM p UNION ALL SELECT j, r2 FROM p),
+g AS (SELECT event_id, sum(cast(floor({KERNEL} * 1e6 + 0.5) as bigint))::bigint AS total, count(*) AS n FROM s GROUP BY 1)
+SELECT event_id, coalesce(total, 0) AS total, coalesce(n, 0) AS n FROM events LEFT JOIN g USING (event_id)""")
+def pair_gather_kernel(spark, d):
+    return reduce.gather_pairs(table(spark, d, "events"), "event_id", _value_pairs(spark, d), ["dvalue"], total=scalars.fixed(_kernel()), n=F.lit(1).cast("long"))
+
+
+@query(f"WITH p AS (SELECT d * d AS r2 FROM ({_pairs})), q AS (SELECT {fx(KERNEL)} AS s FROM p) SELECT 2 * s AS twice_unique, 2 * s AS directed, 0.0::DOUBLE AS signed FROM q")
+def symmetric_vs_directed(spark, d):
+    p = _value_pairs(spark, d)
+    once = p.agg((2 * exact_sum(_kernel())).alias("twice_unique"))
+    both = pairs.directed(p, ["dvalue"]).agg(exact_sum(_kernel()).alias("directed"), (F.sum(F.signum("dvalue") * scalars.fixed(F.abs("dvalue"))) + 0.0).alias("signed"))
+    return once.withColumn("one", F.lit(1)).join(both.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query(f"""WITH p AS ({_pairs}), s AS (SELECT i, j, sqrt(d * d) AS r FROM p UNION ALL SELECT j, i, sqrt(d * d) FROM p), l AS (SELECT * FROM s WHERE r < 0.015)
+SELECT a.i, count(*) AS n FROM l a JOIN l b ON a.i = b.i AND a.j < b.j GROUP BY a.i""")
+def triplets_events(spark, d):
+    return pairs.triplets(_value_pairs(spark, d), 0.015).groupBy("i").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT n_nationkey AS k, n_nationkey * 0.37::DOUBLE AS x0 FROM nation), q AS (SELECT k, x0 - 3.0::DOUBLE * floor(x0 / 3.0::DOUBLE) AS x FROM p),
+m AS (SELECT a.k AS i, b.k AS j, s::INTEGER AS sx, (a.x - (b.x + s * 3.0::DOUBLE)) AS d FROM q a, q b, range(-2, 3) t(s) WHERE NOT (a.k = b.k AND s = 0))
+SELECT i, j, sx, sqrt(d * d) AS r FROM m WHERE d * d < 16.0::DOUBLE""")
+def edges_images(spark, d):
+    return pairs.edges(table(spark, d, "nation").withColumn("x", F.col("n_nationkey") * F.lit(0.37)), "n_nationkey", ["x"], 4.0, Cell((3.0,)))
+
+
+# Tuples, scatters, indexes.
+
+
+@query(f"SELECT count(*) AS n, {fx('abs(p_retailprice - l_extendedprice / l_quantity) * (1 + s_acctbal / 10000)')} AS total, bool_or(p_size > 49) AS any_large FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
+def tuple_sums(spark, d):
+    t = table(spark, d, "lineitem").withColumnsRenamed({"l_partkey": "p", "l_suppkey": "s"})
+    t = reduce.members(table(spark, d, "part"), t, ["p"], "p_partkey", ["p_retailprice", "p_size"])
+    t = reduce.members(table(spark, d, "supplier"), t, ["s"], "s_suppkey", ["s_acctbal"])
+    u = F.abs(F.col("p_p_retailprice") - F.col("l_extendedprice") / F.col("l_quantity")) * (1 + F.col("s_s_acctbal") / F.lit(10000.0))
+    return t.agg(F.count("*").alias("n"), exact_sum(u).alias("total"), F.bool_or(F.col("p_p_size") > 49).alias("any_large"))
+
+
+@query("SELECT p_partkey, coalesce(sum(l_quantity::BIGINT), 0)::BIGINT AS total FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
+def tuple_gather_parts(spark, d):
+    return reduce.gather_tuples(table(spark, d, "part"), "p_partkey", table(spark, d, "lineitem"), {"l_partkey": F.col("l_quantity").cast("long")})
+
+
+@query("SELECT l_partkey AS member, count(*) AS n, string_agg(o, ',' ORDER BY o) AS tuples FROM (SELECT l_partkey, l_orderkey AS o FROM lineitem) GROUP BY 1")
+def incidence_parts(spark, d):
+    got = collection.incidence(table(spark, d, "lineitem"), "l_orderkey", ["l_partkey"])
+    return got.select("member", F.size("tuples").cast("long").alias("n"), F.array_join(F.transform("tuples", lambda t: t["tid"].cast("string")), ",").alias("tuples"))
+
+
+@query("SELECT p_partkey, p_retailprice + coalesce(q, 0) AS total FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def scatter_add_parts(spark, d):
+    return reduce.scatter_add(table(spark, d, "part"), "p_partkey", F.col("p_retailprice"), table(spark, d, "lineitem"), "l_partkey", F.col("l_quantity"))
+
+
+@query("SELECT k AS key, sum(v)::BIGINT AS value FROM (SELECT o_custkey AS k, 1 AS v FROM orders UNION ALL SELECT c_custkey, 1000 FROM customer) GROUP BY k")
+def accumulate_contributions(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.lit(1).cast("long").alias("value"))
+    return reduce.accumulate(a, table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit(1000).cast("long").alias("value")))
+
+
+# Ordered collections.
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY floor(value / 10.0), event_id) - 1 AS place FROM events")
+def spatial_order_rank(spark, d):
+    return collection.spatial_order(table(spark, d, "events"), ["value"], 10.0, "event_id").select("event_id", "place")
+
+
+@query(f"""WITH r AS (SELECT l_discount <> 0 AS hit, row_number() OVER (ORDER BY {LINES}) - 1 AS p FROM lineitem)
+SELECT row_number() OVER (ORDER BY NOT hit, p) - 1 AS place, CASE WHEN hit THEN p ELSE -1 - p END AS item FROM r""")
+def nonzero_partition(spark, d):
+    return collection.nonzero(table(spark, d, "lineitem"), LINE, "l_discount")
+
+
+@query("WITH c AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) SELECT *, coalesce(sum(lines) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c")
+def scan_exclusive(spark, d):
+    counts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    return collection.scan(counts, ["l_orderkey"], "lines")
+
+
+@query(f"SELECT {LINES}, l_suppkey AS bin, row_number() OVER (ORDER BY l_suppkey, {LINES}) - 1 AS place FROM lineitem")
+def sort_by_key_bins(spark, d):
+    rows, _ = collection.sort_by_key(table(spark, d, "lineitem"), F.col("l_suppkey"), 10_000, LINE)
+    return rows.select(*LINE, "bin", "place")
+
+
+@query("""WITH c AS (SELECT b AS bin, coalesce(n, 0) AS count FROM range(10000) t(b) LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON b = l_suppkey)
+SELECT *, coalesce(sum(count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+def bin_counts_and_starts(spark, d):
+    return collection.bin_starts(table(spark, d, "lineitem"), F.col("l_suppkey"), 10_000)
+
+
+@query(f"SELECT {LINES}, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, {LINES}) - 1 AS rank FROM lineitem")
+def sort_bins_stable(spark, d):
+    return collection.sort_bins(table(spark, d, "lineitem"), "l_suppkey", ["l_extendedprice", *LINE]).select(*LINE, "rank")
+
+
+@query('SELECT l_suppkey, sum(l_partkey)::BIGINT AS "add", bit_and(l_partkey) AS "and", bit_or(l_partkey) AS "or", bit_xor(l_partkey) AS "xor", max(l_partkey) AS "max", min(l_partkey) AS "min" FROM lineitem GROUP BY l_suppkey')
+def bin_members_all(spark, d):
+    return collection.bin_members(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", ["add", "and", "or", "xor", "max", "min"])
+
+
+@query("SELECT l_orderkey, product(1 + l_linenumber % 3) AS multiply FROM lineitem GROUP BY l_orderkey")
+def bin_members_product(spark, d):
+    return collection.bin_members(table(spark, d, "lineitem").withColumn("v", 1 + F.col("l_linenumber") % 3), "l_orderkey", "v", ["multiply"])
+
+
+@query(f"SELECT o AS l_orderkey, list_reduce(list_prepend(0.0::DOUBLE, vs), lambda acc, x: acc * 0.5::DOUBLE + x) AS fold FROM (SELECT l_orderkey AS o, list(l_quantity ORDER BY {LINES}) AS vs FROM lineitem GROUP BY 1)")
+def ordered_fold_lines(spark, d):
+    return collection.ordered_fold(table(spark, d, "lineitem"), "l_orderkey", LINE, "l_quantity", 0.0, lambda acc, x: acc * 0.5 + x)
+
+
+@query(f"WITH p AS (SELECT {LINES}, row_number() OVER (ORDER BY {LINES}) - 1 AS place FROM lineitem WHERE l_quantity > 45) SELECT *, place // 64 AS block, place % 64 AS slot, place < 1280 AS written FROM p")
+def append_compact(spark, d):
+    return collection.append(table(spark, d, "lineitem"), F.col("l_quantity") > 45, LINE, 64, 20).select(*LINE, "place", "block", "slot", "written")
+
+
+@query("""WITH c AS (SELECT o_orderkey, count(l_orderkey) AS count, coalesce(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT o_orderkey, coalesce(sum(count) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, count, parts FROM c""")
+def ragged_rows(spark, d):
+    got = collection.ragged(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders"), "o_orderkey", ["l_linenumber", "l_partkey"], [])
+    return got.select("o_orderkey", "first", "count", F.array_join(F.transform("entries", lambda e: e["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("WITH k AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_name, n_nationkey) - 1 AS place FROM nation) SELECT s_suppkey, place FROM supplier JOIN k ON s_nationkey = n_nationkey")
+def renumber_nations(spark, d):
+    ids = collection.places(table(spark, d, "nation"), ["n_name", "n_nationkey"])
+    return collection.renumber(table(spark, d, "supplier"), ["s_nationkey"], ids, "n_nationkey", "place").select("s_suppkey", F.col("s_nationkey").alias("place"))
+
+
+@query("WITH o AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_name DESC, n_nationkey) - 1 AS place FROM nation) SELECT place, n_name FROM nation JOIN o USING (n_nationkey)")
+def permute_nations(spark, d):
+    t = table(spark, d, "nation")
+    order = collection.places(t, [F.desc("n_name"), "n_nationkey"]).select("place", F.col("n_nationkey").alias("item"))
+    return collection.permute(t, "n_nationkey", order).select("place", "n_name")
+
+
+# Grids.
+
+_grid = f"""WITH e AS (SELECT event_id, value, {HOUR} * (48.0::DOUBLE / 24.0::DOUBLE) AS u, (value / 10.0::DOUBLE) * (50.0::DOUBLE / 50.0::DOUBLE) AS v FROM events),
+a AS (SELECT *, floor(u) AS bu, floor(v) AS bv, u - floor(u) AS fu, v - floor(v) AS fv FROM e),
+s AS (SELECT event_id, value, (((bu::BIGINT - t) % 48) + 48) % 48 AS g0, bv::BIGINT - q AS g1, (CASE WHEN t = 0 THEN fu ELSE 2 - (fu + 1) END) * (CASE WHEN q = 0 THEN fv ELSE 2 - (fv + 1) END) AS weight FROM a, range(2) t1(t), range(2) t2(q)),
+g AS (SELECT g0, g1, sum(cast(floor(weight * value * 1e6 + 0.5) as bigint))::bigint / 1e6 AS value FROM s GROUP BY ALL)"""
+
+
+def _spread(spark, d):
+    return grid.stencil(_hours(spark, d).withColumn("v", F.col("value") / F.lit(10.0)), ["h", "v"], Cell((24.0, None)), [48, 50])
+
+
+@query(f"{_grid} SELECT * FROM g")
+def grid_scatter_cic(spark, d):
+    return grid.scatter(_spread(spark, d), 2, F.col("value"), aggregate=exact_sum)
+
+
+@query(f"{_grid} SELECT s.event_id, {fx('s.weight * coalesce(g.value, 0)')} AS field FROM s LEFT JOIN g USING (g0, g1) GROUP BY s.event_id")
+def grid_gather_cic(spark, d):
+    spread = _spread(spark, d)
+    field = grid.scatter(spread, 2, F.col("value"), "field", exact_sum)
+    return grid.gather(spread.select("event_id", "g0", "g1", "weight"), 2, field, "event_id", "field", exact_sum)
+
+
+@query(f"{_grid} SELECT {fx('(CASE WHEN g0 > 0 AND g0 < 24 THEN 2.0 ELSE 1.0 END::DOUBLE) * (value * value / 1000.0::DOUBLE)')} AS total FROM g WHERE g0 <= 24")
+def grid_sum_weighted(spark, d):
+    field = grid.map_grid(grid.scatter(_spread(spark, d), 2, F.col("value"), aggregate=exact_sum), e=F.col("value") * F.col("value") / F.lit(1000.0))
+    return grid.sum_grid(field.where("g0 <= 24"), F.col("e"), F.col("g0").between(1, 23), exact_sum)
+
+
+@query("""WITH c AS (SELECT hour(ts)::BIGINT AS h, count(*)::DOUBLE AS n FROM events GROUP BY 1)
+SELECT k, round(sum(n * cos(2 * pi() * ((k * h) % 24) / 24.0::DOUBLE)), 6) + 0.0::DOUBLE AS re, round(sum(-n * sin(2 * pi() * ((k * h) % 24) / 24.0::DOUBLE)), 6) + 0.0::DOUBLE AS im FROM c, range(13) t(k) GROUP BY k""")
+def dft_small(spark, d):
+    counts = table(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("h")).agg(F.count("*").cast("double").alias("n"))
+    return grid.dft(counts, "h", "n", 24).select("k", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_acctbal, (s_suppkey % 10) * 1.0::DOUBLE AS x, (s_nationkey % 7) * 1.0::DOUBLE AS y FROM supplier)
+SELECT k0, k1, round(sum(s_acctbal * cos(2 * pi() * k0 * x / 10.0 + 2 * pi() * k1 * y / 7.0)), 4) + 0.0 AS re, round(sum(s_acctbal * sin(2 * pi() * k0 * x / 10.0 + 2 * pi() * k1 * y / 7.0)), 4) + 0.0 AS im
+FROM s, (SELECT a::INTEGER AS k0, b::INTEGER AS k1 FROM range(-2, 3) t1(a), range(-2, 3) t2(b) WHERE a > 0 OR (a = 0 AND b > 0)) GROUP BY k0, k1""")
+def structure_factors(spark, d):
+    t = table(spark, d, "supplier").withColumn("x", (F.col("s_suppkey") % 10).cast("double")).withColumn("y", (F.col("s_nationkey") % 7).cast("double"))
+    got = grid.structure_factors(t, ["x", "y"], [10.0, 7.0], "s_acctbal", 2)
+    return got.select("k0", "k1", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+# Domains.
+
+DAY = Cell((24.0,))
+_domains = f"WITH e AS (SELECT event_id, value, {HOUR} AS h FROM events), o AS (SELECT *, least(floor(h / 24.0::DOUBLE * 8), 7)::BIGINT AS domain FROM e)"
+_ghosts = f"{_domains}, n AS (SELECT *, unnest([floor(h / 3.0::DOUBLE)::BIGINT - 1, floor(h / 3.0::DOUBLE)::BIGINT, floor(h / 3.0::DOUBLE)::BIGINT + 1]) AS b FROM o), r AS (SELECT ((b % 8) + 8) % 8 AS domain, event_id AS source, CASE WHEN b < 0 THEN 1 WHEN b > 7 THEN -1 ELSE 0 END::BIGINT AS sh, h, value, domain AS home, greatest(b * 3.0::DOUBLE - h, h - (b + 1) * 3.0::DOUBLE, 0.0::DOUBLE) AS gap FROM n), g AS (SELECT * FROM r WHERE gap * gap < 0.05::DOUBLE * 0.05::DOUBLE AND NOT (sh = 0 AND domain = home))"
+
+
+def _layout(spark, d):
+    return domains.partition(_hours(spark, d).select("event_id", "value", "h"), ["h"], DAY, [8])
+
+
+@query(f"{_domains} SELECT domain, count(*) AS n, {fx('value')} AS total FROM o GROUP BY domain")
+def partition_domains(spark, d):
+    return _layout(spark, d).groupBy("domain").agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
+
+
+@query(f"{_domains}, p AS (SELECT domain, {fx('value')} AS total FROM o GROUP BY domain) SELECT list_reduce(list_prepend(0.0::DOUBLE, list(total ORDER BY domain)), lambda a, b: a + b) AS total FROM p")
+def domain_all_reduce(spark, d):
+    return domains.all_reduce(_layout(spark, d).groupBy("domain").agg(exact_sum("value").alias("total")), "total")
+
+
+@query(f"{_ghosts} SELECT domain, source, sh, h + sh * 24.0::DOUBLE AS h, value FROM g")
+def halo_ghosts(spark, d):
+    layout = _layout(spark, d)
+    return domains.halo_copy(domains.halo(layout, "event_id", ["h"], DAY, [8], 0.05), layout, "event_id", "value").select("domain", "source", "sh", "h", "value")
+
+
+@query(f"{_ghosts}, k AS (SELECT source, count(*) AS n FROM g GROUP BY 1) SELECT event_id, 1 + coalesce(n, 0) AS held FROM events LEFT JOIN k ON event_id = source")
+def halo_sum_back(spark, d):
+    layout = _layout(spark, d).withColumn("held", F.lit(1).cast("long"))
+    replicas = domains.halo(layout, "event_id", ["h"], DAY, [8], 0.05).withColumn("amount", F.lit(1).cast("long"))
+    return domains.halo_sum(layout, "event_id", "held", replicas, "amount")
+
+
+@query(f"{_ghosts} SELECT domain, count(*) FILTER (event_id NOT IN (SELECT source FROM g)) AS interior, count(*) FILTER (event_id IN (SELECT source FROM g)) AS boundary FROM o GROUP BY domain")
+def interior_boundary(spark, d):
+    layout = _layout(spark, d)
+    inner, edge = domains.interior_and_boundary(layout, "event_id", domains.halo(layout, "event_id", ["h"], DAY, [8], 0.05))
+    both = inner.withColumn("inside", F.lit(1)).unionByName(edge.withColumn("inside", F.lit(0)))
+    return both.groupBy("domain").agg(F.sum("inside").alias("interior"), F.sum(1 - F.col("inside")).alias("boundary"))
+
+
+# Functions.
+
+
+@query(f"""WITH x AS (SELECT {LINES}, (l_discount * 10 - 0.5)::DOUBLE AS a, l_quantity / 50.0::DOUBLE AS b FROM lineitem)
+SELECT {LINES}, round(sqrt(b) + exp(a) + ln(b), 6) AS f1, round(sin(a) + cos(a) + tan(a), 6) AS f2, round(asin(a) + acos(a) + atan(b), 6) AS f3, round(sinh(a) + cosh(a) + tanh(a), 6) AS f4,
+round(1 / cos(b) + 1 / sin(b) + 1 / tan(b), 6) AS f5, abs(a) + floor(l_quantity / 7) + ceil(l_quantity / 7) AS f6, (CASE WHEN a >= 0 THEN 1.0 ELSE 0.0 END + CASE WHEN a = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS f7, a * a + b * b * b + 1 / b AS f8,
+least(a, b) + greatest(a, b) AS f9, round(atan2(a, b), 6) + 0.0 AS f10, CASE WHEN l_discount <> 0 THEN a ELSE b END AS f11, round(pow(b, a), 6) AS f12 FROM x""")
+def expr_functions(spark, d):
+    s = scalars
+    t = table(spark, d, "lineitem").withColumn("a", F.col("l_discount") * 10 - 0.5).withColumn("b", F.col("l_quantity") / F.lit(50.0))
+    a, b, q = F.col("a"), F.col("b"), F.col("l_quantity") / 7
+    r = lambda x: F.round(x, 6)
+    return t.select(
+        *LINE, r(s.sqrt("b") + F.exp("a") + s.log("b")).alias("f1"), r(F.sin("a") + F.cos("a") + F.tan("a")).alias("f2"), r(F.asin("a") + F.acos("a") + F.atan("b")).alias("f3"),
+        r(F.sinh("a") + F.cosh("a") + F.tanh("a")).alias("f4"), r(s.sec("b") + s.csc("b") + s.cot("b")).alias("f5"), (F.abs("a") + s.floor(q) + s.ceil(q)).alias("f6"), (s.step("a") + s.delta("a")).alias("f7"),
+        (s.square("a") + s.cube("b") + s.recip("b")).alias("f8"), (s.minimum("a", "b") + s.maximum("a", "b")).alias("f9"), (r(F.atan2(a, b)) + 0.0).alias("f10"), s.select("l_discount", "a", "b").alias("f11"), r(s.power("b", "a")).alias("f12"),
+    )
+
+
+@query("SELECT p_partkey, [5.0, 1.0, 4.0, 2.0, 3.0][(least(greatest(round_even((p_size - 1.0::DOUBLE) / 12.0::DOUBLE, 0), 0), 4) + 1)::INT]::DOUBLE AS factor FROM part")
+def tabulated_discrete(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalars.tabulated(F.col("p_size").cast("double"), 1.0, 49.0, [5, 1, 4, 2, 3]).alias("factor"))
+
+
+@query("""WITH y AS (SELECT event_id, value / 250.0::DOUBLE - 1.0::DOUBLE AS y FROM events), a AS (SELECT *, 0.125::DOUBLE AS b3 FROM y), b AS (SELECT *, 2 * y * b3 - 0.5::DOUBLE AS b2 FROM a), c AS (SELECT *, 2 * y * b2 - b3 + 0.25::DOUBLE AS b1 FROM b)
+SELECT event_id, y * b1 - b2 + 1.0::DOUBLE AS t FROM c""")
+def chebyshev_series(spark, d):
+    return table(spark, d, "events").select("event_id", scalars.chebyshev(F.col("value") / F.lit(250.0) - 1.0, [1.0, 0.25, -0.5, 0.125]).alias("t"))
+
+
+# Series.
+
+
+@query("""WITH r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+b AS (SELECT user_id, n, least(n, 10) AS k, least(pos // (n // least(n, 10)), least(n, 10)) AS block, v FROM r), m AS (SELECT user_id, n, k, block, sum(v) AS s, count(*) AS c FROM b GROUP BY ALL)
+SELECT user_id, round(sum(s) / sum(c), 9) AS mean, round(CASE WHEN count(*) FILTER (block < k) > 1 THEN sqrt(var_samp(s / c) FILTER (block < k) / count(*) FILTER (block < k)) ELSE 0 END, 6) AS error, n FROM m GROUP BY user_id, n""")
+def block_mean_error(spark, d):
+    got = series.block_mean(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return got.select("user_id", F.round("mean", 9).alias("mean"), F.round("error", 6).alias("error"), "n")
+
+
+@query("""WITH r AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS d, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS at FROM events),
+n AS (SELECT event_type, count(*) AS n, var_pop(value) AS var FROM events GROUP BY 1),
+c AS (SELECT a.event_type, t, sum(a.d * b.d) / ((n.n - t) * n.var) AS c, n.n AS n FROM r a JOIN range(1, 65) q(t) ON true JOIN r b ON a.event_type = b.event_type AND b.at = a.at + t JOIN n ON n.event_type = a.event_type GROUP BY a.event_type, t, n.n, n.var),
+k AS (SELECT event_type, min(t) AS cut FROM c WHERE c <= 0 GROUP BY 1)
+SELECT n.event_type, round(greatest(1 + coalesce(sum(2 * (1 - t / n.n::DOUBLE) * c) FILTER (t < cut), 0), 1), 6) AS g, n.n AS n FROM n LEFT JOIN c ON n.event_type = c.event_type LEFT JOIN k ON n.event_type = k.event_type GROUP BY n.event_type, n.n""")
+def inefficiency(spark, d):
+    got = series.inefficiency(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value")
+    return got.select("event_type", F.round("g", 6).alias("g"), "n")
+
+
+@query("""WITH x AS (SELECT event_type, value, -value / 25.0::DOUBLE - max(-value / 25.0::DOUBLE) OVER (PARTITION BY event_type) AS x FROM events), w AS (SELECT *, exp(x) AS w FROM x)
+SELECT event_type, round(sum(w * value) / sum(w), 6) AS mean, round(exp(ln(sum(w)) - sum(w * x) / sum(w)), 4) AS ess_entropy, round(sum(w) * sum(w) / sum(w * w) / count(*), 6) AS ess_kish, count(*) AS n FROM w GROUP BY 1""")
+def reweight_ess(spark, d):
+    got = series.reweighted(table(spark, d, "events"), "event_type", F.col("value"), F.col("value"), 25.0)
+    return got.select("event_type", F.round("mean", 6).alias("mean"), F.round("ess_entropy", 4).alias("ess_entropy"), F.round("ess_kish", 6).alias("ess_kish"), "n")
+
+
+@query("SELECT l_returnflag, round(-covar_pop(l_quantity, l_discount) / 2.5, 6) AS derivative FROM lineitem GROUP BY 1")
+def cov_derivative(spark, d):
+    return series.mean_derivative(table(spark, d, "lineitem"), "l_returnflag", F.col("l_quantity"), F.col("l_discount"), 2.5).select("l_returnflag", F.round("derivative", 6).alias("derivative"))
+
+
+@query("""WITH s AS (SELECT year(o_orderdate)::INT AS y, avg(o_totalprice) AS a, avg(o_orderkey) AS b FROM orders GROUP BY 1),
+t AS (SELECT *, lag(a) OVER (ORDER BY y) AS pa, lag(b) OVER (ORDER BY y) AS pb, lag(y) OVER (ORDER BY y) AS py FROM s)
+SELECT 'price' AS component, round(sum((a + pa) / 2 * (y / 10.0::DOUBLE - py / 10.0::DOUBLE)), 4) AS dg FROM t UNION ALL SELECT 'key', 0.0::DOUBLE FROM (SELECT 1)""")
+def ti_trapezoid(spark, d):
+    t = table(spark, d, "orders").withColumn("y", F.year("o_orderdate")).withColumn("l1", F.col("y") / F.lit(10.0)).withColumn("l2", F.lit(1.0)).withColumn("k", F.col("o_orderkey").cast("double"))
+    return series.thermodynamic_integration(t, "y", {"price": "l1", "key": "l2"}, {"price": "o_totalprice", "key": "k"}).select("component", F.round("dg", 4).alias("dg"))
+
+
+@query()
+def mbar_three_states(spark, d):
+    kinds = ["click", "purchase", "view"]
+    t = table(spark, d, "events").where(F.col("event_type").isin(*kinds))
+    t = t.select((F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1).alias("state"), *((F.col("value") / F.lit(s)).alias(f"u{i}") for i, s in enumerate((40.0, 50.0, 60.0))))
+    f, overlap = series.mbar(t, ["u0", "u1", "u2"])
+    return spark.createDataFrame([(i, x, *o) for i, (x, o) in enumerate(zip(f, overlap, strict=True))], "state int, f double, o0 double, o1 double, o2 double")
+
+
+@query("""WITH r AS (SELECT event_type, 1 - exp(-value / 50.0::DOUBLE) AS f, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+d AS (SELECT event_type, n, max(greatest(k / n::DOUBLE - f, f - (k - 1) / n::DOUBLE)) AS d FROM r GROUP BY ALL), l AS (SELECT *, (sqrt(n::DOUBLE) + 0.12 + 0.11 / sqrt(n::DOUBLE)) * d AS lam FROM d)
+SELECT event_type, round(d, 9) AS d, round(least(greatest(2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k)), 0), 1), 6) AS p, n FROM l""")
+def ks_statistic(spark, d):
+    got = series.kolmogorov_smirnov(table(spark, d, "events"), "event_type", "value", 1 - F.exp(-F.col("value") / F.lit(50.0)))
+    return got.select("event_type", F.round("d", 9).alias("d"), F.round("p", 6).alias("p"), "n")
+
+
+@query("""WITH r AS (SELECT event_type, user_id, sum(value) AS t, count(*) AS c FROM events GROUP BY ALL), w AS (SELECT *, sum(t) OVER (PARTITION BY event_type) AS tt, sum(c) OVER (PARTITION BY event_type) AS cc FROM r)
+SELECT event_type, round(any_value(tt / cc), 9) AS mean, round(sqrt((count(*) - 1) * var_pop((tt - t) / (cc - c))), 6) AS error, count(*) AS replicas FROM w WHERE cc > c GROUP BY event_type""")
+def jackknife_mean(spark, d):
+    sums = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("t"), F.count("*").alias("c"))
+    got = series.jackknife(sums, "event_type", "user_id", "t", "c")
+    return got.select("event_type", F.round("mean", 9).alias("mean"), F.round("error", 6).alias("error"), "replicas")
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem GROUP BY 1")
+def corr_columns(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"))
+
+
+@query("SELECT l_suppkey, round(avg(l_extendedprice), 4) AS mean, round(var_samp(l_extendedprice) / avg(l_extendedprice), 3) AS ratio FROM lineitem GROUP BY 1")
+def moments_volume(spark, d):
+    return series.fluctuation(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice").select("l_suppkey", F.round("mean", 4).alias("mean"), F.round("ratio", 3).alias("ratio"))
+
+
+@query("SELECT event_id, max(abs(value - 50)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS most FROM events")
+def running_max_diff(spark, d):
+    return series.running_maximum(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.abs(F.col("value") - 50)).select("event_id", "most")
+
+
+@query("""WITH k AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS x, o_custkey % 10 AS g, sum(o_totalprice) AS s FROM orders GROUP BY ALL), y AS (SELECT g, x, s - avg(s) OVER (PARTITION BY g) AS y FROM k), n AS (SELECT *, lead(x) OVER w AS b, lead(y) OVER w AS h FROM y WINDOW w AS (PARTITION BY g ORDER BY x))
+SELECT g, round(arg_min(CASE WHEN y = 0 THEN x ELSE x - y * (b - x) / (h - y) END, x), 6) AS root FROM n WHERE y = 0 OR y * h < 0 GROUP BY g""")
+def first_crossing_orders(spark, d):
+    o = table(spark, d, "orders").withColumn("x", F.year("o_orderdate") * 12 + F.month("o_orderdate")).withColumn("g", F.col("o_custkey") % 10)
+    s = o.groupBy("x", "g").agg(F.sum("o_totalprice").alias("s"))
+    m = s.groupBy("g").agg(F.avg("s").alias("m"))
+    return series.first_crossing(s.join(m, "g").withColumn("y", F.col("s") - F.col("m")), "g", "x", "y").select("g", F.round("root", 6).alias("root"))
+
+
+@query("SELECT l_orderkey, max(l_extendedprice) AS most, arg_max(l_partkey, l_extendedprice * 100000 + l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
+def argmax_row(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("most"), F.max_by("l_partkey", F.col("l_extendedprice") * 100000 + F.col("l_partkey")).alias("l_partkey"))
+
+
+# Steps and streams.
+
+
+@query("SELECT event_id // 500 AS period, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def step_windows(spark, d):
+    return windows.by_step(table(spark, d, "events"), "event_id", 500).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query(f"SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, {fx('value')} AS total FROM events GROUP BY ALL")
+def day_windows(spark, d):
+    return windows.by_time(table(spark, d, "events"), "ts", "1 day", "event_type").agg(F.count("*").alias("n"), exact_sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query()
+def stateful_refresh(spark, d):
+    return refresh.crossings(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 40.0)
+
+
+_kicked = "WITH k AS (SELECT p_partkey, (p_size % 5)::DOUBLE AS m, p_retailprice AS x, (p_size - 25)::DOUBLE + CASE WHEN p_size % 5 = 0 THEN 0 ELSE 0.5::DOUBLE * (p_partkey % 11) / (p_size % 5) END AS vx FROM part)"
+
+
+def _particles(spark, d):
+    t = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).cast("double").alias("m"), F.col("p_retailprice").alias("x"), (F.col("p_size") - 25).cast("double").alias("vx"), (F.col("p_partkey") % 11).cast("double").alias("fx"))
+    return steps.kick(t, 0.5, ["x"])
+
+
+@query(f"{_kicked} SELECT p_partkey, x + 0.5::DOUBLE * vx AS x, vx FROM k")
+def kick_drift_step(spark, d):
+    return steps.drift(_particles(spark, d), 0.5, ["x"]).select("p_partkey", "x", "vx")
+
+
+@query(f"{_kicked} SELECT {fx('0.5::DOUBLE * m * vx * vx')} AS kx, {fx('m * vx')} AS px FROM k")
+def kinetic_and_momentum(spark, d):
+    t = _particles(spark, d)
+    return steps.kinetic(t, ["x"], aggregate=exact_sum).join(F.broadcast(steps.momentum(t, ["x"], aggregate=exact_sum)), how="full")
+
+
+@query(f"""WITH p AS (SELECT sqrt(d * d) + 0.01::DOUBLE AS r FROM ({_pairs})), u AS (SELECT r, 4 * (pow(0.02::DOUBLE / r, 6) * pow(0.02::DOUBLE / r, 6) - pow(0.02::DOUBLE / r, 6)) AS u, (r - 0.04::DOUBLE) / {0.065 - 0.04!r}::DOUBLE AS t FROM p)
+SELECT count(*) AS n, round(sum(CASE WHEN r <= 0.04 THEN u WHEN r < 0.065 THEN u * (1 - 10 * t * t * t + 15 * t * t * t * t - 6 * t * t * t * t * t) ELSE 0 END) / 1000, 6) AS total FROM u""")
+def lj_pair_energy(spark, d):
+    p = _value_pairs(spark, d).withColumn("r", F.col("r") + F.lit(0.01))
+    u = terms.lennard_jones(p, F.lit(0.02), F.lit(1.0), 0.065, "switch", 0.04)
+    return u.agg(F.count("*").alias("n"), F.round(F.sum("u") / 1000, 6).alias("total"))

@@ -1,0 +1 @@
+"""Step windows, stateful refresh and resumable sinks, for streams and for tables."""
