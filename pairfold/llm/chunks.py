@@ -35,11 +35,9 @@ M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The name of a pair of names."""
     out = a * M1
-    out ^= out >> np.uint64(32)
     out += b * M2
-    out ^= out >> np.uint64(29)
-    out *= M3
     out ^= out >> np.uint64(32)
+    out *= M3
     return out
 
 
@@ -174,7 +172,7 @@ def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarra
                 out.append((-1, rows.part.iloc[0], level, pack_ints(np.array([summary(int(level), result)]))))
         return pd.DataFrame(out, columns=["chunk", "part", "level", "result"])
 
-    return stored(sent.repartition(ranges, "part").groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
+    return stored(sent.where("part >= 0").repartition(ranges, "part").groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
 
 
 def with_results(chunks: DataFrame, *results: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ have equal anchors at equal offsets. The anchored suffixes are then refined buck
 2. The others are refined by the bucket identifiers at later (and, for the part before the anchor,
    earlier) offsets: the names of the pieces that make up the whole stretch of windows with that
    anchor. A suffix whose refined bucket starts in a smaller document is finished: the stretch goes.
-3. Where a bucket still holds several stretches, the first holder of each is refined once more,
-   window by window.
+3. The first holder of each other stretch is refined once more, window by window, on the sides of
+   the anchor where others share it half-way out but not to the stretch's end.
 
 Bucket identifiers are built by doubling: the identifier of 2k bytes is a function of those of k
 bytes here and k bytes later, so that each level reuses the identifiers of the one before. They are
@@ -31,13 +31,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.chunks import blobs, combined, make_chunks, map_rows, mix, ranges_for, results_of, send, with_results
-from pairfold.llm.common import text_bytes
+from pairfold.llm.chunks import blobs, combined, make_chunks, map_rows, mix, pack_ints, ranges_for, results_of, send, with_results
+from pairfold.llm.common import stored, text_bytes
 
 LENGTH, GRAM = 50, 20
 LAST = np.int64(2**63 - 1)  # stands for a null key
 #: Bytes that are named at a time; keeps the arrays in the processor's cache.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 
 
 def identifiers(b: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
@@ -77,7 +77,8 @@ class Stretches:
         self.sizes = np.array(row["n_bytes"], dtype=np.int64)
         self.start = np.cumsum(self.sizes) - self.sizes
         self.key = np.array([LAST if k is None else k for k in row["key"]], dtype=np.int64)
-        places, grams, firsts, lasts, stretch, texts = [], [], [], [], [], []
+        self.half = (length - gram) // 2
+        grams, ahead, behind, anchors, firsts, lasts, stretch, texts = [], [], [], [], [], [], [], []
         end_of = self.start + self.sizes
         for lo, hi, text in self._blocks(len(b), end_of):
             piece = b[lo:hi]
@@ -104,17 +105,23 @@ class Stretches:
             begin = windows[new]
             final = windows[np.r_[new[1:] - 1, len(windows) - 1]]
             # Windows of different texts may stand side by side, but never share an anchor.
-            places.append(at[new] + lo)
-            grams.append(short[at[new]])
+            at = at[new]
+            anchors.append(at + lo)
+            # Anchors are least names; named anew they spread evenly over the ranges of the exchange.
+            grams.append(mix(short[at], np.full(len(at), 3, dtype=np.uint64)))
+            for names_of_side, from_ in ((ahead, at), (behind, at - self.half)):
+                from_ = np.clip(from_, 0, len(long) - 1)
+                names_of_side.append(mix(long[from_], long[np.clip(from_ + self.half + gram - 32, 0, len(long) - 1)]))
             firsts.append(begin + lo)
             lasts.append(final + lo)
             size = final - begin + length
             tail = final + length - 32
             name = mix(mix(long[begin], long[begin + (size - 32) // 2]), long[tail])
-            stretch.append(mix(name, (size * 128 + at[new] - begin).astype(np.uint64)))
+            stretch.append(mix(name, (size * 128 + at - begin).astype(np.uint64)))
             texts.append(np.searchsorted(end_of, begin + lo, "right"))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
         self.gram, self.stretch = join(grams, np.uint64), join(stretch, np.uint64)
+        self.ahead, self.behind, self.anchor = join(ahead, np.uint64), join(behind, np.uint64), join(anchors, np.int64)
         self.first, self.last, self.text = join(firsts, np.int64), join(lasts, np.int64), join(texts, np.int64)
         self.bytes = b
         self.owner = self.key[self.text] if len(self.text) else np.zeros(0, dtype=np.int64)
@@ -151,11 +158,12 @@ def _least(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _several(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names and the least and greatest value of each."""
-    order = np.lexsort((values, names))
+    if not len(names):
+        return names, values, values
+    order = np.argsort(names, kind="stable")
     n, v = names[order], values[order]
-    new = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, dtype=np.int64)
-    ends = np.r_[new[1:] - 1, len(n) - 1] if len(n) else new
-    return n[new], v[new], v[ends]
+    new = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+    return n[new], np.minimum.reduceat(v, new), np.maximum.reduceat(v, new)
 
 
 def _level_two(row: dict, s: Stretches) -> np.ndarray:
@@ -166,40 +174,66 @@ def _level_two(row: dict, s: Stretches) -> np.ndarray:
 
 
 def _tag(names: np.ndarray) -> np.ndarray:
-    return (names >> np.uint64(32)).astype(np.int64)
-
-
-def _level_three(row: dict, s: Stretches, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the stretches ``at``: the ones that go, and those to refine window by window."""
-    stretch, _, place = _least(s.stretch[at], s.owner[at])
-    least = results_of(row["r1"], 1)[place] if len(at) else np.zeros(0, dtype=np.int64)
-    grams = np.unique(s.gram[at])
-    mixed = results_of(row["r1"], 2)[np.searchsorted(grams, s.gram[at])] if len(at) else np.zeros(0, dtype=np.int64)
-    gone = at[least < s.owner[at]]
-    return gone, at[(least == s.owner[at]) & (mixed > 0)]
-
-
-def _windows(s: Stretches, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, names and owners of the windows of some stretches."""
-    size = s.last[at] - s.first[at] + 1
-    places = np.repeat(s.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    if not len(places):
-        return places, np.zeros(0, dtype=np.uint64), places
-    # Name the bytes of neighbouring stretches together.
-    order = np.argsort(s.first[at], kind="stable")
-    lo, hi = s.first[at][order], s.last[at][order] + s.length
-    reach = np.maximum.accumulate(hi)
-    new = np.r_[True, lo[1:] > reach[:-1]]
-    cut = np.flatnonzero(new)
+    return (names >> np.uint64(16)).astype(np.int64)
+
+
+def _sides(s: Stretches, at: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, stretches, names): what stretches with windows on either side of their anchors hold there.
+
+    A window holds at least half of its bytes beside the anchor before or behind it.
+    """
+    middle = s.anchor[at] - s.half
+    behind, ahead = at[s.first[at] <= middle], at[s.last[at] >= middle]
+    return [(2, behind, s.behind[behind]), (3, ahead, s.ahead[ahead])]
+
+
+def _level_three(row: dict, s: Stretches, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the stretches ``at``: the ones that go, and the first and last windows of those to refine further."""
+    none = np.zeros(0, dtype=np.int64)
+    if not len(at):
+        return at, none, none
+    _, _, place = _least(s.stretch[at], s.owner[at])
+    least = results_of(row["r1"], 1)[place]
+    gone, open_ = at[least < s.owner[at]], np.zeros(len(s.gram), dtype=bool)
+    open_[at[least == s.owner[at]]] = True
+    lo, hi = s.last.copy(), s.first - 1  # nothing yet
+    for level, mine, names in _sides(s, at):
+        distinct = np.unique(names)
+        mixed = results_of(row["r1"], level)[np.searchsorted(distinct, names)] > 0 if len(names) else np.zeros(0, dtype=bool)
+        mine = mine[mixed & open_[mine]]
+        middle = s.anchor[mine] - s.half
+        if level == 2:
+            lo[mine], hi[mine] = s.first[mine], np.minimum(s.last[mine], middle)
+        else:
+            fresh = hi[mine] < s.first[mine]
+            lo[mine] = np.where(fresh, np.maximum(s.first[mine], middle), lo[mine])
+            hi[mine] = s.last[mine]
+    rest = np.flatnonzero(hi >= s.first)
+    return gone, lo[rest], hi[rest]
+
+
+def _windows(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of the windows from ``first`` to ``last``."""
+    size = last - first + 1
+    places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     names = np.empty(len(places), dtype=np.uint64)
-    by_place = np.argsort(places, kind="stable")
-    sorted_places = places[by_place]
-    for a, b in zip(lo[cut].tolist(), reach[np.r_[cut[1:] - 1, len(lo) - 1]].tolist(), strict=True):
-        i, j = np.searchsorted(sorted_places, [a, b])
-        found = identifiers(s.bytes[a:b], (32,))[32]
-        p = sorted_places[i:j] - a
-        names[by_place[i:j]] = mix(found[p], found[p + s.length - 32])
-    return places, names, np.repeat(s.owner[at], size)
+    # Runs of windows that overlap are named together.
+    ends = np.cumsum(size)
+    new = np.flatnonzero(np.r_[True, first[1:] > last[:-1] + length]) if len(first) else first
+    for a, z in zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True):
+        lo, hi = int(first[a]), int(last[z - 1]) + length
+        found = identifiers(b[lo:hi], (32,))[32]
+        i, j = int(ends[a] - size[a]), int(ends[z - 1])
+        p = places[i:j] - lo
+        names[i:j] = mix(found[p], found[p + length - 32])
+    return places, names
+
+
+def _owners(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of a chunk's texts and their keys."""
+    sizes = np.array(row["n_bytes"], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    return ends - sizes, ends, np.array([LAST if k is None else k for k in row["key"]], dtype=np.int64)
 
 
 def without_spans(body: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -240,16 +274,21 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         s = Stretches(row, length, gram)
         at = _level_two(row, s)
         stretch, least, _ = _least(s.stretch[at], s.owner[at])
-        grams, low, high = _several(s.gram[at], _tag(s.stretch[at]))
-        none = np.zeros(len(stretch), dtype=np.int64)
-        return blobs(row["chunk"], 1, stretch, [least, none], ranges) + blobs(row["chunk"], 2, grams, [low, high], ranges)
+        out = blobs(row["chunk"], 1, stretch, [least, np.zeros(len(stretch), dtype=np.int64)], ranges)
+        for level, mine, names in _sides(s, at):
+            distinct, low, high = _several(names, _tag(s.stretch[mine]))
+            out += blobs(row["chunk"], level, distinct, [low, high], ranges)
+        return out
 
     def last(row: dict) -> list[tuple]:
         s = Stretches(row, length, gram)
-        _, at = _level_three(row, s, _level_two(row, s))
-        _, names, owner = _windows(s, at)
-        distinct, least, _ = _least(names, owner)
-        return blobs(row["chunk"], 1, distinct, [least], ranges)
+        gone, lo, hi = _level_three(row, s, _level_two(row, s))
+        _, ends, keys = _owners(row)
+        places, names = _windows(s.bytes, lo, hi, length)
+        distinct, least, _ = _least(names, keys[np.searchsorted(ends, places, "right")])
+        # What this pass has found stays with the chunk, in rows of no range.
+        kept = {-1: s.first[gone], -2: s.last[gone], -3: lo, -4: hi}
+        return blobs(row["chunk"], 1, distinct, [least], ranges) + [(-1, row["chunk"], level, b"", pack_ints(np.diff(x, prepend=0))) for level, x in kept.items()]
 
     first = combined(send(bare, initial, 1), lambda level, starts, v: (np.add.reduceat(v[0], starts) > 1).astype(np.int64), 1, "substrings-1", ranges)
     second = combined(
@@ -259,39 +298,41 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         "substrings-2",
         ranges,
     )
-    third = combined(send(with_results(bare, first, second), last, 1), lambda level, starts, v: np.minimum.reduceat(v[0], starts), 1, "substrings-3", ranges)
+    sent = stored(send(with_results(bare, first, second), last, 1), "substrings-sent")
+    kept = sent.where("part < 0").select("chunk", "part", "level", F.col("v0").alias("result"))
+    third = combined(sent, lambda level, starts, v: np.minimum.reduceat(v[0], starts), 1, "substrings-3", ranges)
 
     def spans(row: dict) -> dict[str, list]:
-        s = Stretches(row, length, gram)
-        gone, rest = _level_three(row, s, _level_two(row, s))
-        places, found, owner = _windows(s, rest)
-        _, _, place = _least(found, owner)
-        least = results_of(row["r2"], 1)[place] if len(places) else owner
-        places = places[least < owner]
-        marks = np.zeros(len(s.bytes) + 1, dtype=np.int64)
-        np.add.at(marks, s.first[gone], 1)
-        np.add.at(marks, s.last[gone] + length, -1)
-        np.add.at(marks, places, 1)
-        np.add.at(marks, places + length, -1)
+        b = np.frombuffer(row["body"], dtype=np.uint8)
+        begin, finish_, keys = _owners(row)
+        gone_first, gone_last, lo, hi = (np.cumsum(results_of(row["r1"], level)) for level in (-1, -2, -3, -4))
+        places, names_found = _windows(b, lo, hi, length)
+        owner = keys[np.searchsorted(finish_, places, "right")] if len(places) else places
+        _, place = np.unique(names_found, return_inverse=True)
+        places = places[results_of(row["r0"], 1)[place] < owner] if len(places) else places
+        marks = np.zeros(len(b) + 1, dtype=np.int64)
+        for starts_, ends_ in ((gone_first, gone_last + length), (places, places + length)):
+            np.add.at(marks, starts_, 1)
+            np.add.at(marks, ends_, -1)
         covered = (np.cumsum(marks)[:-1] > 0).astype(np.int8)
         edge = np.diff(np.r_[0, covered, 0])
         starts, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
         # Runs of neighbouring texts may touch.
-        inner = np.setdiff1d(s.start[s.sizes > 0], starts)
+        inner = np.setdiff1d(begin[finish_ > begin], starts)
         inner = inner[covered[inner] > 0] if len(inner) else inner
         starts, ends = np.sort(np.r_[starts, inner]), np.sort(np.r_[ends, inner])
-        of = np.searchsorted(s.start + s.sizes, starts, "right")
-        cut = np.searchsorted(of, np.arange(len(s.sizes) + 1))
+        of = np.searchsorted(finish_, starts, "right")
+        cut = np.searchsorted(of, np.arange(len(keys) + 1))
         body = row["body"]
         made = [
-            finish(None if missing else body[a : a + n], starts[cut[k] : cut[k + 1]] - a, ends[cut[k] : cut[k + 1]] - a)
-            for k, (missing, a, n) in enumerate(zip(row["missing"], s.start.tolist(), s.sizes.tolist(), strict=True))
+            finish(None if missing else body[a:z], starts[cut[k] : cut[k + 1]] - a, ends[cut[k] : cut[k + 1]] - a)
+            for k, (missing, a, z) in enumerate(zip(row["missing"], begin.tolist(), finish_.tolist(), strict=True))
         ]
         return {"key": row["key"], **{f: [m[k] for m in made] for k, f in enumerate(fields)}} | {n: row[n] for n in names}
 
     fields = [f.strip().split(" ")[0] for f in schema.split(",")]
-    kept = "".join(f", {n} {k}" for n, k in zip(names, kinds, strict=True))
-    return map_rows(with_results(table, first, second, third), spans, f"key long, {schema}{kept}")
+    more = "".join(f", {n} {k}" for n, k in zip(names, kinds, strict=True))
+    return map_rows(with_results(table, third, kept), spans, f"key long, {schema}{more}")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
