@@ -11,14 +11,16 @@ must meet. The lists of the index are worked off by the relations among their se
 * Index level. An entry knows its position in its set and the set's size. What a position leaves
   to share bounds the overlap; pairs of entries, and whole lists whose sets are in one component
   already, are skipped by it. Short lists are compared pair by pair.
-* Answer level. A long list is compared to its most central set only, the pivot. Its other sets'
+* Answer level. A long list is compared to its most central set first, the pivot. Its other sets'
   answers follow from the pivot's: two sets close to it are linked through it and need no comparison
   in a search for components; two whose distances to it differ by more than the threshold are no
   pair (Jaccard distance is a metric); lists fall apart where their components' distances leave such
-  a gap. Only what remains is compared in the next round, with the next pivot.
+  a gap. What remains is compared in the next rounds: pivots are then sets outside the list's
+  largest component, eight times as many each round, and are done with once compared.
 
-Every round takes a set out of each list that is left, so that the search ends, and no round makes
-more than a few candidates per entry. Copies, however many, cost a row each.
+A list ends when one component is left, after as many rounds as its number of sets outside the
+largest has octal digits. The sets of one component are never compared to each other. Copies,
+however many, cost a row each.
 
 Defined cases: documents without words, or with a null text, have an empty set and link with nobody;
 fewer than ``shingle`` words are one shingle; repeated rows and equal keys are rows of their own in
@@ -28,6 +30,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +41,8 @@ from pairfold.llm.common import stored, text_bytes
 from pairfold.llm.graph import components
 from pairfold.llm.words import word_chunks, words_and_tokens
 
-#: Candidates per entry of a list that is compared pair by pair.
-WIDE = 4
+#: Candidates per entry of a list that is compared pair by pair; the pivots of a long list grow so many times a round.
+WIDE, WIDER = 4, 8
 
 
 class Shingles:
@@ -136,45 +140,64 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
 
 
-def links_among(sets: DataFrame, percent: int) -> DataFrame | None:
-    """(a, b): links of which the components of all links are made; None if there are no sets."""
+def _parted(rooted: DataFrame, percent: int) -> DataFrame:
+    """Lists in parts: components in the order of their distances from the list's pivot, parted by the gaps."""
+    low, high = F.min(F.coalesce("d", F.lit(0.0))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high")
+    groups = rooted.groupBy("s", "part", "root").agg(low, high)
+    along = Window.partitionBy("s", "part").orderBy("low", "high", "root")
+    gap = F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) + (100 - percent) / 100 + 1e-9
+    cuts = groups.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("cut", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return rooted.join(cuts.select("s", "part", "root", "cut"), ["s", "part", "root"]).withColumn("part", F.xxhash64("part", "cut")).drop("cut")
+
+
+def linked_components(sets: DataFrame, percent: int) -> DataFrame | None:
+    """(vertex, root): components of all links among the sets, by name; None if no two share a list."""
     required = F.ceil(F.col("n") * percent / 100).cast("int")
     unshared = F.col("n") - F.size("shared")
     prefix = F.slice("shared", F.lit(1), F.col("n") - required + 1 - unshared)
     entries = sets.select(F.posexplode(prefix).alias("at", "s"), "name", "n", "central", (unshared + F.col("at")).alias("pos"))
     lists = stored(entries.groupBy("s").count().where("count > 1").select("s"), "jaccard-lists")
-    entries = stored(entries.join(lists, "s").select("s", "name", "n", "central", "pos", F.lit(0).alias("part"), F.lit(None).cast("double").alias("d")), "jaccard-entries")
-    links, roots = None, None
-    while True:
+    entries = stored(entries.join(lists, "s").select("s", "name", "n", "central", "pos", F.lit(0).cast("long").alias("part"), F.lit(None).cast("double").alias("d")), "jaccard-entries")
+    links, roots, width = None, None, 1
+    for turn in itertools.count():
         rooted = entries.withColumn("root", F.col("name")) if roots is None else entries.join(roots.select(F.col("vertex").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        # Components of a list, in the order of their distances from the last pivot; a gap parts the list.
-        low, high = F.min(F.coalesce("d", F.lit(0.0))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high")
-        best = F.max(F.struct("central", "name", "n", "pos", "d", "root")).alias("best")
-        groups = rooted.groupBy("s", "part", "root").agg(F.count("*").alias("k"), low, high, best)
-        along = Window.partitionBy("s", "part").orderBy("low", "high", "root")
-        gap = F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) + (100 - percent) / 100 + 1e-9
-        groups = stored(groups.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("cut", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0))), "jaccard-groups")
-        lists = groups.groupBy("s", "part", "cut").agg(F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max("best").alias("pivot"))
-        lists = stored(lists.where("total * total > same").withColumn("short", F.expr(f"(total * total - same) / 2 <= {WIDE} * total")), "jaccard-lists")
+        if turn == 1:
+            rooted = stored(_parted(rooted, percent), "jaccard-parts")
+        groups = rooted.groupBy("s", "part", "root").agg(F.count("*").alias("k"), F.max(F.struct("central", "name")).alias("central"), F.min("name").alias("first"))
+        lists = groups.groupBy("s", "part").agg(
+            F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "root")).alias("largest"),
+            F.min(F.struct("k", "root", "first")).alias("smallest"), F.max("central").alias("central"),
+        )
+        # The first pivot is the most central set; later ones are of all components but the largest.
+        lists = lists.where("total * total > same").select(
+            "s", "part", F.expr(f"(total * total - same) / 2 <= {WIDE} * total").alias("short"), F.col("central.name" if turn == 0 else "smallest.first").alias("pivot"),
+            F.col("largest.root").alias("most"), (F.lit(width) / (F.col("total") - F.col("largest.k"))).alias("share"),
+        )
+        lists = stored(lists, "jaccard-lists")
         if not lists.limit(1).count():
-            return links
-        cuts = groups.select("s", "part", "root", "cut")
-        active = rooted.join(cuts, ["s", "part", "root"]).join(lists.select("s", "part", "cut", "short", F.col("pivot.name").alias("pivot")), ["s", "part", "cut"])
-        active = stored(active.withColumn("part", F.xxhash64("part", "cut")).drop("cut"), "jaccard-active")
+            return roots
+        chosen = F.col("name") == F.col("pivot")
+        if turn:
+            chosen |= (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("name", "s"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        active = stored(rooted.join(lists, ["s", "part"]).withColumn("chosen", chosen).drop("most", "share"), "jaccard-active")
         short, long = active.where("short"), active.where("NOT short")
         where = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part"))
-        named = (F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-        pairs = short.alias("x").join(short.alias("y"), where & (F.col("x.name") < F.col("y.name"))).where(_possible(percent)).select(*named)
-        pivots = long.where("name = pivot")
-        starred = long.where("name <> pivot").alias("x").join(pivots.alias("y"), where).where(_possible(percent)).select(*named)
+        x, y = F.col("x.name"), F.col("y.name")
+        pairs = short.alias("x").join(short.alias("y"), where & (x < y)).where(_possible(percent)).select(x.alias("a"), y.alias("b"))
+        ends = (x.alias("a"), y.alias("b")) if turn == 0 else (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        starred = long.alias("x").join(long.where("chosen").alias("y"), where & (x != y)).where(_possible(percent)).select(*ends)
         # A pair may stand in a short list in one order and in a long one in the other; both are right.
         found = stored(_compared(pairs.unionByName(starred).distinct(), sets), "jaccard-compared")
         new = found.where(_linked("o", "na", "nb", percent)).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links, "jaccard-components")
-        known = found.select(F.col("a").alias("name"), F.col("b").alias("pivot"), (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("d"))
-        entries = long.where("name <> pivot").drop("d", "root", "short").join(known, ["name", "pivot"], "left").select("s", "name", "n", "central", "pos", "part", "d")
-        entries = stored(entries, "jaccard-entries")
+        if roots is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            roots = components(links, "jaccard-components")
+        rest = long.where("NOT chosen")
+        if turn == 0:
+            known = found.select(F.col("a").alias("name"), F.col("b").alias("pivot"), (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("d"))
+            rest = rest.drop("d").join(known, ["name", "pivot"], "left")
+        entries = stored(rest.select("s", "name", "n", "central", "pos", "part", "d"), "jaccard-entries")
+        width *= WIDER
 
 
 def similar(docs: DataFrame, percent: int = 75, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,9 +205,9 @@ def similar(docs: DataFrame, percent: int = 75, shingle: int = 5, key: str = "do
     every = shingle_sets(docs, percent, shingle, key, text)
     own = every.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("least"))
     sets = stored(every.where("shared IS NOT NULL").select("name", "n", "shared", "central").dropDuplicates(["name"]), "jaccard-distinct")
-    links = links_among(sets, percent)
-    if links is not None:
-        roots = components(links, "jaccard-components").select(F.col("vertex").alias("name"), "root")
+    roots = linked_components(sets, percent)
+    if roots is not None:
+        roots = roots.withColumnRenamed("vertex", "name")
         whole = own.join(roots, "name").groupBy("root").agg(F.min("least").alias("id"))
         larger = roots.join(whole, "root").select("name", "id")
         own = own.join(larger, "name", "left").select("name", F.coalesce("id", "least").alias("least"))
