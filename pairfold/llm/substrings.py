@@ -214,12 +214,14 @@ def _level_three(row: dict, s: Stretches, at: np.ndarray) -> tuple[np.ndarray, n
 
 def _windows(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and names of the windows from ``first`` to ``last``."""
+    if not len(first):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     size = last - first + 1
     places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     names = np.empty(len(places), dtype=np.uint64)
     # Runs of windows that overlap are named together.
     ends = np.cumsum(size)
-    new = np.flatnonzero(np.r_[True, first[1:] > last[:-1] + length]) if len(first) else first
+    new = np.flatnonzero(np.r_[True, first[1:] > last[:-1] + length])
     for a, z in zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True):
         lo, hi = int(first[a]), int(last[z - 1]) + length
         found = identifiers(b[lo:hi], (32,))[32]
