@@ -1,9 +1,14 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences, each is normalised, and those that are known licence sentences give
-their identifiers in the order of the text. Ordered rules name licences by runs of identifiers; the
-first rule whose run occurs names the document's licence. The two tables are short parameters,
-held as literals of the plan; there is no join and no shuffle.
+A text is normalised to words with marks between them for line breaks, blank lines and sentence
+ends. A known licence sentence is found where its words stand between two such marks, over wrapped
+lines and behind comment signs; its identifiers are given in the order of the text. Ordered rules
+name licences by runs of identifiers; the first rule whose run occurs names the document's licence.
+The tables are short parameters, held as literals of the plan; there is no join and no shuffle.
+
+A sentence may begin and end at any line (notices without a full stop, a copyright line before it)
+and runs on over single line breaks, not over a blank line or a line of signs only, and over the end
+of a sentence only where the known sentence has one itself ("free software: you", "v. 2.0").
 
 Defined cases: a null or empty text has no sentences, an empty identifier list and no licence;
 repeated sentences repeat their identifiers; rows are independent, so that ties, repeated rows,
@@ -45,6 +50,12 @@ SENTENCES = {
     "gpl-free-software": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
 }
 
+#: Further wordings of the sentences above, as the licences' own headers have them.
+WORDINGS = {
+    "apache2-short": ["Licensed under the Apache License, Version 2.0 (the \"License\");"],
+    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+}
+
 #: In this order: a longer text before the parts that it shares with a shorter one.
 RULES = [
     ("MIT", ["grant", "notice"]),
@@ -68,9 +79,17 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
 ]
 
-#: The end of a sentence: these marks before white space. Line breaks end sentences too.
-SENTENCE_END = r"([.;:!?])[ \t\r\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What becomes of a lower-cased text between two line breaks, in this order: P stands for a blank line (or one of signs
+#: only), L for a line break with the comment signs and list number after it, S for a sentence end, blanks for the rest.
+#: No step repeats a group, as Java's stack would grow with the text.
+MARKS = [
+    (r"\r\n?", "\n"),
+    (r"\n[^a-z0-9\n]*(?:(?:rem|dnl)[ \t]*)?(?=\n)", "P"),
+    (r"\n[^a-z0-9\n]*(?:(?:rem|dnl|[a-z0-9]{1,2}\))[ \t]+[^a-z0-9\n]*)?", "L"),
+    (r"[.;:!?][ \tL]+", "S"),
+    (r"[^a-z0-9LPS]+", " "),
+]
 
 
 def normalised(sentence: str) -> str:
@@ -81,13 +100,32 @@ def known_sentences() -> dict[str, str]:
     return {normalised(s): name for name, group in SENTENCES.items() for s in group}
 
 
+def all_sentences() -> dict[str, str]:
+    return {s: name for table in (SENTENCES, WORDINGS) for name, group in table.items() for s in group}
+
+
+def _pattern(sentences: list[str]) -> str:
+    """Finds the sentences, a longer one before its beginnings, in a text with MARKS."""
+    found = set()
+    for s in sentences:
+        s = s.translate(str.maketrans(UPPER, LOWER))
+        for cut, mark in MARKS:
+            s = re.sub(cut, mark, s)
+        gaps = re.split("([a-z0-9]+)", s.strip(" LPS"))
+        found.add("".join(x if x.isalnum() and x.islower() or x.isdigit() else "[ LS]+" if "S" in x else "[ L]+" if x else "" for x in gaps))
+    ordered = sorted(found, key=lambda x: (-x.count("]+"), x))
+    return f"[LPS] ?({'|'.join(ordered)})(?= ?[LPS])"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = sentences or known_sentences()
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    cut = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SENTENCE_END, "$1\n"), "\n")
-    named = F.transform(cut, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.filter(named, lambda x: x.isNotNull())
+    known = sentences or all_sentences()
+    table = F.create_map(*[F.lit(x) for s, name in {normalised(s): name for s, name in known.items()}.items() for x in (s, name)])
+    marked = F.concat(F.lit("\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit("\n"))
+    for cut, mark in MARKS:
+        marked = F.regexp_replace(marked, cut, mark)
+    found = F.regexp_extract_all(marked, F.lit(_pattern(list(known))), F.lit(1))
+    return F.transform(found, lambda s: F.try_element_at(table, F.regexp_replace(s, "[ LS]+", " ")))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -394,6 +394,54 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).count() == 0
 
 
+WRAPPED = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"",
+    "BSD-3-Clause": "Copyright (c) 2020, A. Body\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE",
+    "Apache-2.0": "Copyright 2020 A. Body\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law",
+    "ISC": "Copyright (c) 2020, A. Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+@pytest.mark.parametrize("before, between, after", [("", "", ""), ("# ", "# ", ""), ("/*\n * ", " * ", "\n */\nint x;"), ("// ", "// ", ""), ("; ", "; ", ""), ("REM ", "REM ", ""), ("<!--\n", "  ", "\n-->")])
+@pytest.mark.parametrize("line", ["\n", "\r\n"])
+def test_licences_of_wrapped_texts(spark, before, between, after, line):
+    made = {name: (before + text.replace("\n", "\n" + between) + after).replace("\n", line) for name, text in WRAPPED.items()}
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(made.items()), "doc_id string, text string")).collect()}
+    assert {k: r.licence for k, r in got.items()} == {k: k for k in WRAPPED}
+    assert list(got["Apache-2.0"].sentence_ids) == ["apache2-short", "apache2-may-not", "apache2-copy"]
+    assert list(got["BSD-3-Clause"].sentence_ids) == ["redistribution", "source-form", "binary-form", "no-endorsement"]
+
+
+def test_every_known_licence_sentence_is_found_at_any_width(spark):
+    import textwrap
+
+    rows = [(name, textwrap.fill(s, width)) for name, group in licences.SENTENCES.items() for s in group for width in (20, 72, 2000)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [list(r.sentence_ids) for r in got] == [[name] for name, _ in rows]
+
+
+def test_licence_sentences_end(spark):
+    rows = [
+        (1, "Licensed under the\n\nMIT License."), (2, "Not licensed under the MIT License."), (3, "Licensed under. The MIT License."), (4, "no full stop\nLicensed under CC BY-NC 4.0\nmore"),
+        (5, "Licensed under the MIT License. " * 3), (6, "a.\n" * 50_000 + "\n" * 50_000 + "Released under\nthe MIT License."), (7, "Licensed under the MIT License of old."), (8, "Licensed under the\n***\nMIT License."),
+    ]
+    got = {r.doc_id: list(r.sentence_ids) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: ["cc-by-nc-4"], 5: ["mit-short"] * 3, 6: ["mit-short"], 7: [], 8: []}
+
+
+def test_licence_scan_equals_its_sql(spark):
+    import duckdb
+
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+        want = con.execute(queries.ORACLES["op6_licence_scan"]).fetchall()
+        got = queries.op6_licence_scan(spark, f"/root/testdata/{sf}").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_mixing_takes_near_its_targets(texts, none):
     df, rows = texts
     got = mixing.systematic_copies(df).collect()
