@@ -80,36 +80,51 @@ def learn(labelled: DataFrame, known: int = 1500, lang: str = "lang", text: str
 
 
 class Profiles:
+    """Places of the n-grams, held only where a language's profile has one: languages x profile entries."""
+
     def __init__(self, known: dict[str, list[int]], profile: int) -> None:
         self.langs, self.profile = list(known), profile
         every = np.unique(np.array([g for x in known.values() for g in x], dtype=np.int64))
         best = np.full(len(every), len(every), dtype=np.int64)
-        self.places = np.full((len(known), len(every)), profile, dtype=np.int64)
-        for k, x in enumerate(known.values()):
-            at = np.searchsorted(every, x)
-            best[at] = np.minimum(best[at], np.arange(len(x)))
-            self.places[k, at[:profile]] = np.arange(min(profile, len(x)))
+        of_lang = [np.searchsorted(every, x) for x in known.values()]
+        for at in of_lang:
+            best[at] = np.minimum(best[at], np.arange(len(at)))
         # Number the n-grams by their best place; ties of a document's counts go to the lower number.
         order = np.argsort(best, kind="stable")
-        self.places = self.places[:, order]
-        self.number = np.zeros(1 << 24, dtype=np.uint16)
-        self.number[every[order]] = np.arange(1, len(every) + 1)
         self.size = len(every)
+        self.number = np.zeros(1 << 24, dtype=np.uint32)
+        self.number[every[order]] = np.arange(1, self.size + 1)
+        # The entries of n-gram k, counted from 0 in that order, are those from start[k] to start[k + 1].
+        rank = np.empty(self.size, dtype=np.int64)
+        rank[order] = np.arange(self.size)
+        grams_of = np.concatenate([rank[at[:profile]] for at in of_lang] or [order])
+        by_gram = np.argsort(grams_of, kind="stable")
+        self.start = np.searchsorted(grams_of[by_gram], np.arange(self.size + 1))
+        self.lang = np.repeat(np.arange(len(of_lang)), [len(at[:profile]) for at in of_lang])[by_gram]
+        self.place = np.concatenate([np.arange(len(at[:profile])) for at in of_lang] or [order])[by_gram]
 
     def of(self, text: str | None) -> tuple[str, float]:
         if not self.langs or text is None or not LETTER.search(text):
             return UNKNOWN, 0.0
-        n = np.zeros(self.size + 1, dtype=np.int64)
-        for keys in grams(letters(text)):
-            n += np.bincount(self.number[keys], minlength=self.size + 1)
-        n = n[1:]
-        ranked = n * self.size + np.arange(self.size - 1, -1, -1)
-        ranked = ranked[n > 0]
+        numbers = [self.number[keys] for keys in grams(letters(text))]
+        if 16 * sum(map(len, numbers)) < self.size:
+            found, n = np.unique(np.concatenate(numbers), return_counts=True)
+            found, n = found[found > 0].astype(np.int64), n[found > 0]
+        else:
+            n = sum(np.bincount(x, minlength=self.size + 1) for x in numbers)
+            n[0] = 0
+            found = np.flatnonzero(n)
+            n = n[found]
+        ranked = n * self.size + self.size - found
         if len(ranked) > self.profile:
             ranked = np.partition(ranked, len(ranked) - self.profile)[-self.profile :]
         top = self.size - 1 - np.sort(ranked)[::-1] % self.size
-        away = np.abs(self.places[:, top] - np.arange(len(top)))
-        distance = np.where(self.places[:, top] == self.profile, self.profile, away).sum(axis=1)
+        # A missing n-gram counts ``profile``; the entries of those that are there make up the difference.
+        sizes = self.start[top + 1] - self.start[top]
+        at = np.repeat(self.start[top] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        away = np.abs(self.place[at] - np.repeat(np.arange(len(top)), sizes)) - self.profile
+        distance = np.full(len(self.langs), self.profile * len(top), dtype=np.int64)
+        np.add.at(distance, self.lang[at], away)
         k = int(distance.argmin())
         return self.langs[k], float(1 - distance[k] / (self.profile * len(top))) if len(top) else 0.0
 

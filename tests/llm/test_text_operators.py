@@ -382,6 +382,43 @@ def test_language_distance_is_out_of_place():
     assert counts and p.of("ab ba") == ("x", 0.0) and p.of("...") == ("und", 0.0)
 
 
+def language_brute(known, profile, text):
+    """Distances by plain dictionaries; n-grams of equal count go by their best place in any language, then by key."""
+    best = {}
+    for x in known.values():
+        for place, g in enumerate(x):
+            best[g] = min(place, best.get(g, place))
+    n = collections.Counter(g for keys in language.grams(language.letters(text)) for g in keys.tolist() if g in best)
+    top = sorted(n, key=lambda g: (-n[g], best[g], g))[:profile]
+    if not top:
+        return next(iter(known)), 0.0
+    away = {}
+    for lang, x in known.items():
+        places = {g: place for place, g in enumerate(x[:profile])}
+        away[lang] = sum(abs(places[g] - k) if g in places else profile for k, g in enumerate(top))
+    lang = min(away, key=away.get)
+    return lang, 1 - away[lang] / (profile * len(top))
+
+
+@pytest.mark.parametrize("languages", [4, 60, 1000])
+def test_language_of_many_languages(languages):
+    """1000 languages of 1500 n-grams each, mostly disjoint: more n-grams than 16 bits number, more places than a table holds."""
+    rng = random.Random(3)
+    alphabets = ["abcdefghijklm", "nopqrstuvwxyz", "abcnopäöüß"]  # of over 1500 n-grams each
+    texts = [" ".join("".join(rng.choice(x) for _ in range(rng.randrange(1, 8))) for _ in range(size)) for x in alphabets for size in (1, 30, 900)]
+    # Byte triples over 0xC0 stand in no text; each language but the last three has its own.
+    known = {f"l{k:04}": list(range(0xC00000 + 1500 * k, 0xC00000 + 1500 * (k + 1))) for k in range(languages - 3)}
+    for k, alphabet in enumerate(alphabets):
+        seen = collections.Counter(g for keys in language.grams(language.letters(" ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(4000)))) for g in keys.tolist())
+        known[f"z{k}"] = [g for g, _ in seen.most_common(1500)]
+        assert len(known[f"z{k}"]) == 1500 or k == 2
+    profiles = language.Profiles(known, 400)
+    for k, text in enumerate(texts):
+        got, want = profiles.of(text), language_brute(known, 400, text)
+        assert got[0] == want[0] == f"z{k // 3}" and got[1] == pytest.approx(want[1], abs=1e-12)
+    assert profiles.of("ÿ 漢字") == language_brute(known, 400, "ÿ 漢字")
+
+
 def test_licences(spark, odd, none):
     rows = [
         (1, "Intro. Licensed under the Apache License, Version 2.0. More"), (2, "Released under the MIT License."), (3, None), (4, ""), (5, "nothing here"),
