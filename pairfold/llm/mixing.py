@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from pairfold.llm.common import WORD, stored
 
@@ -56,14 +57,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def systematic_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: int = 2, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def systematic_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: int = 2, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", tie: Column | None = None) -> DataFrame:
     """(key, tie, source, size, source_size, target, copies), a row per row of ``docs``.
 
-    ``tie`` is a hash of the text. ``copies`` is at most ``cap``; the copies of all rows of a source
+    ``tie`` is a hash of the text if none is given. ``copies`` is at most ``cap``; the copies of all rows of a source
     times their sizes come near its target. The same rows give the same copies, however they are
     partitioned.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (F.xxhash64(F.col(text)) if tie is None else tie).alias("tie"))
     order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("key"), F.col("tie")]
     placed = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix")
     counts = placed.groupBy("part", "source").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
@@ -83,19 +84,28 @@ def systematic_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budge
     return joined.select("key", "tie", "source", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; nulls count by their place, nested values as JSON."""
+    nested = {f.name for f in docs.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))}
+    named = {c: F.col(f"`{c}`") for c in docs.columns}
+    values = [F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"}) if c in nested else x for c, x in named.items()]
+    return F.xxhash64(*values, *[x.isNull() for x in named.values()])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the columns of ``docs`` and ``copy``, a row for each copy that is taken.
 
-    Rows that agree in doc_id and text are one document here, with the copies of all of them.
+    Rows that agree in all columns are one document here, with the copies of all of them.
     """
+    tie = row_hash(docs)
     taken = (
-        systematic_copies(docs, weights, budget, cap, seed)
-        .groupBy(F.col("key").alias("__key"), F.col("tie").alias("__of"))
+        systematic_copies(docs, weights, budget, cap, seed, tie=tie)
+        .groupBy(F.col("key").alias("__key"), F.col("source").alias("__from"), F.col("tie").alias("__of"))
         .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
         .where("__copies > 0")
     )
-    tied = docs.withColumn("__tie", F.xxhash64(F.col("text")))
-    found = tied.join(taken, F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("__tie") == F.col("__of")))
+    tied = docs.withColumn("__tie", tie)
+    found = tied.join(taken, F.col("doc_id").eqNullSafe(F.col("__key")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__tie") == F.col("__of")))
     # Each of several equal rows would bring the copies of all of them.
-    out = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["doc_id", "__tie"]))
+    out = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["doc_id", "source", "__tie"]))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns, "copy")

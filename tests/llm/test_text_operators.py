@@ -496,6 +496,25 @@ def test_mixing_takes_near_its_targets(texts, none):
     assert mixing.systematic_copies(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_keeps_rows_that_differ(spark):
+    """Rows of one doc_id and text in several sources, or with other columns that differ, stay documents of their own."""
+    text = "some words of one text"
+    rows = [(k % 5 or None, text if k % 3 else None, s, lang, [None, k % 2] if lang else None) for k in range(60) for s in ("a", "b", None) for lang in ("en", None)]
+    rows += [(7, None, "a", "x", [1, None]), (7, None, "a", None, [None, 1]), (7, "x", "a", None, [1, None])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, more array<int>").repartition(6)
+    want = collections.Counter()
+    for r in mixing.systematic_copies(df, tie=mixing.row_hash(df)).collect():
+        want[r.key, r.source, r.size] += r.copies
+    mixed = mixing.mix(df).collect()
+    got = collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed)
+    assert got == +want
+    of_row = collections.Counter((r.doc_id, r.text, r.source, r.lang, str(r.more)) for r in mixed)
+    there = collections.Counter((d, t, s, lang, str(m)) for d, t, s, lang, m in rows)
+    assert all(n <= 2 * there[k] for k, n in of_row.items())
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, mixed))
+
+
 def test_empty_tables(none, spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert jaccard.similar(none).count() == 0 and jaccard.representatives(none).count() == 0
