@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The trees are fitted with numpy on a bounded sample of labelled rows, the ``sample`` labels of least
-hash; histograms of gradients over at most 64 bins per statistic choose the splits. The statistics
+The trees are fitted with numpy on a bounded sample of labelled rows: of the ``sample`` labels of least
+hash the ``sample`` rows of least hash, where equal rows are one with their count as weight; histograms of gradients over at most 64 bins per statistic choose the splits. The statistics
 of every whole text are computed and scored in one pass over the documents. A fitted model is flat arrays of
 complete trees, which are broadcast (some kB) and traversed for whole batches at once.
 
@@ -89,33 +89,48 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, smooth: float = 1.0, least: int = 20) -> Trees:
-    """Boosted trees for the log loss; ties between splits go to the first statistic and bin."""
+def _quantiles(c: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """np.quantile of the values, each repeated as often as its weight says."""
+    order = np.argsort(c, kind="stable")
+    c, upto = c[order], np.cumsum(weight[order])
+    place = at * (upto[-1] - 1)
+    low, high = (c[np.searchsorted(upto, k, side="right")] for k in (np.floor(place), np.ceil(place)))
+    part = place - np.floor(place)
+    return np.where(part < 0.5, low + (high - low) * part, high - (high - low) * (1 - part))
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, smooth: float = 1.0, least: int = 20, weight: np.ndarray | None = None) -> Trees:
+    """Boosted trees for the log loss; ties between splits go to the first statistic and bin.
+
+    A row of weight w counts like w equal rows.
+    """
+    w = np.ones(len(y)) if weight is None else weight.astype(np.float64)
     inner = 2**depth - 1
-    share = y.mean() if len(y) else 0.5
+    share = (w @ y) / w.sum() if len(y) else 0.5
     empty = Trees(np.zeros((0, inner), dtype=np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if len(y) == 0 or share in (0, 1):
         return empty
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    edges = [np.unique(_quantiles(c, w, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
     margin, trees = np.full(len(y), empty.base), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = w * (p - y), w * p * (1 - p)
         feature, threshold = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         at = np.zeros(len(y), dtype=np.int64)
         for node in range(inner):
             rows = np.flatnonzero(at == node)
             best = (1e-9, 0, np.inf, -1)
-            if len(rows) >= 2 * least:
+            n = w[rows].sum()
+            if n >= 2 * least:
                 gr, hr = g[rows], h[rows]
                 whole = gr.sum() ** 2 / (hr.sum() + smooth)
                 for f, e in enumerate(edges):
                     if len(e):
                         b = binned[rows, f]
-                        gl, hl, nl = (np.cumsum(np.bincount(b, w, minlength=len(e) + 1))[:-1] for w in (gr, hr, None))
+                        gl, hl, nl = (np.cumsum(np.bincount(b, v, minlength=len(e) + 1))[:-1] for v in (gr, hr, w[rows]))
                         gain = gl**2 / (hl + smooth) + (gr.sum() - gl) ** 2 / (hr.sum() - hl + smooth) - whole
-                        gain[(nl < least) | (len(rows) - nl < least)] = -1
+                        gain[(nl < least) | (n - nl < least)] = -1
                         k = int(gain.argmax())
                         if gain[k] > best[0]:
                             best = (gain[k], f, e[k], k)
@@ -129,18 +144,26 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
-    """Fit to ``sample`` labelled rows at most: the labels whose key has the least hash.
+    """Fit to ``sample`` labelled rows at most, taken from the labels whose key has the least hash.
 
-    The sample of labels is broadcast, bounded by its number of rows, so that only its documents are
-    measured.
+    The sample of labels is broadcast, bounded by its number of rows. The rows of a key that agree in
+    label and text are one row with their count as weight; if there are more than ``sample`` such
+    rows, those of least hash of key and text are taken. They are found by hashes first, so that
+    only their texts are moved and measured.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__of"), F.col(label).alias("__label"))
     marked = marked.orderBy(F.xxhash64("__of"), "__of", "__label").limit(sample)
-    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(marked), F.col("__key") == F.col("__of"))
-    rows = measure(found.select(F.struct("__key", "__label").alias("key"), "__text"), "key", "__text").select("key.__key", "key.__label", "x").collect()
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    found = rows.join(F.broadcast(marked), F.col("__key") == F.col("__of")).select("__key", "__label", F.xxhash64("__text").alias("__hash"))
+    chosen = found.groupBy("__key", "__label", "__hash").agg(F.count("*").alias("__n"))
+    chosen = chosen.orderBy(F.xxhash64("__key", "__hash"), "__key", "__label", "__hash").limit(sample).withColumnRenamed("__key", "__of")
+    whole = rows.join(F.broadcast(chosen), (F.col("__key") == F.col("__of")) & (F.xxhash64("__text") == F.col("__hash")))
+    whole = whole.groupBy("__key", "__label", "__hash", "__n").agg(F.min("__text").alias("__text"))
+    rows = measure(whole.select(F.struct("__key", "__label", "__n").alias("key"), "__text"), "key", "__text").select("key.*", "x").collect()
     rows.sort(key=lambda r: (r["__key"], r["__label"], r["x"]))  # the order of the rows must not change the sums
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r["__label"] for r in rows], dtype=np.float64))
+    y, n = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("__label", "__n"))
+    return fit(x, y, weight=n)
 
 
 def classify(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -336,6 +336,27 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.classify(none, trees).count() == 0 and quality.accepted(none, trees).count() == 0
 
 
+def test_quality_of_one_hot_document(spark, monkeypatch):
+    """A labelled doc_id with a third of all rows: its rows go to the fit once with their count, and never over the bound."""
+    import numpy as np
+
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, weight: seen.append((x, y, weight)) or fit(x, y, weight=weight))
+    rows = [(k, f"text {k} " * (k % 7 + 1)) for k in range(200)] + [(200, "hot text")] * 3000 + [(200, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(201)] + [(200, 1)], "doc_id long, quality int")
+    trees = quality.learn(docs, labels)
+    x, y, n = seen[0]
+    assert len(x) == 204 and sorted(n)[-5:] == [1, 5, 5, 3000, 3000] and n.sum() == 200 + 2 * 3005
+    repeated = fit(np.repeat(x, n.astype(int), axis=0), np.repeat(y, n.astype(int)))
+    assert trees.score(x) == pytest.approx(repeated.score(x), rel=1e-6)
+    distinct = docs.unionByName(spark.createDataFrame([(200, f"another hot text {k}") for k in range(900)], docs.schema))
+    quality.learn(distinct, labels, sample=150)
+    quality.learn(distinct.repartition(3), labels, sample=150)
+    assert len(seen[1][0]) <= 150 and all(np.array_equal(a, b) for a, b in zip(seen[1], seen[2], strict=True))
+
+
 def test_trees_equal_a_plain_traversal():
     import numpy as np
 
