@@ -3,10 +3,13 @@
 Equal vectors of a label are one class. The classes of a label are dealt to shards of bounded size;
 each shard gets a graph (pairfold.llm.hnsw). Every shard is queried with the vectors of its own and
 of each later shard of its label, in blocks of one shard; beams widen fourfold for the queries whose
-whole beam links, and twofold for all of a block until an audit of a sample of its queries against
-every vector of the shard finds the recall that is asked for. What the graphs return is verified by
-cosine in double precision, counted for both sides, and united inside the pair of shards; the small
-trees that this leaves are united by pairfold.llm.graph.
+whole beam links, and twofold for all of a block until the block's audit finds the recall that is
+asked for. An audit compares queries of the block, in a random order, to every vector of the shard
+until it has seen ``LINKS`` true links to other vectors or has tried all queries of the block: a
+block without links passes only when all of it has been looked at. What the graphs return is
+verified by cosine in double precision, counted for both sides, and united inside the pair of
+shards; the small trees that this leaves are united by pairfold.llm.graph. The audits' counts of
+true links and of those that the graphs had found come with the result.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows
 with a null label, link with nothing; only vectors of one length are compared; equal vectors link
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.common import stored
+from pairfold.llm.common import join_skewed, stored
 from pairfold.llm.graph import components
 from pairfold.llm.hnsw import Graph
 
-SHARD, BEAM, AUDIT = 2048, 64, 48
+SHARD, BEAM = 8192, 64
+#: True links that an audit has to see before it may pass without all queries of its block.
+LINKS = 64
 BLOCK = 512
 
 
@@ -77,15 +82,28 @@ def _links(graph: Graph, target: np.ndarray, queries: np.ndarray, least: float,
     return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
-def _audited(graph: Graph, target: np.ndarray, queries: np.ndarray, least: float, recall: float) -> np.ndarray:
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = int(((queries[sample] @ target.T) >= least).sum())
-    beam = BEAM
+def _audited(graph: Graph, target: np.ndarray, queries: np.ndarray, same: bool, least: float, recall: float, beam: int) -> tuple[np.ndarray, int, int]:
+    """The links found, the true links of the audited queries, and how many of these were found.
+
+    ``same``: the queries are the shard's own vectors, whose links to themselves are none.
+    """
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    audited, truth, at = np.zeros(len(queries), dtype=bool), 0, 0
+    while at < len(queries) and truth < LINKS:
+        some = order[at : at + min(max(at, 64), BLOCK)]
+        near = queries[some] @ target.T >= least
+        if same:
+            near[np.arange(len(some)), some] = False
+        truth += int(near.sum())
+        audited[some] = True
+        at += len(some)
     while True:
         found = _links(graph, target, queries, least, beam)
-        hit = int(np.isin(found[:, 0], sample).sum())
+        if same:
+            found = found[found[:, 0] != found[:, 1]]
+        hit = int(audited[found[:, 0]].sum())
         if beam >= len(target) or hit >= recall * truth:
-            return found
+            return found, truth, hit
         beam *= 2
 
 
@@ -104,7 +122,7 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(least: float, recall: float):
+def _compare(least: float, recall: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -112,26 +130,34 @@ def _compare(least: float, recall: float):
                 target = np.frombuffer(row["unit"], dtype=np.float64).reshape(len(row["names"]), -1)
                 same = row["shard"] == row["from_shard"]
                 queries = np.frombuffer(row["from_unit"], dtype=np.float64).reshape(len(row["from_names"]), -1)
-                pairs = _audited(Graph.from_bytes(target, row["graph"]), target, queries, least, recall)
+                pairs, truth, hit = _audited(Graph.from_bytes(target, row["graph"]), target, queries, same, least, recall, beam)
                 names, sizes = row["names"], np.array(row["sizes"], dtype=np.int64)
                 if same:
-                    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0) if len(pairs) else pairs
+                    pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
                 else:
                     pairs = pairs + [len(names), 0]
                     names, sizes = names + row["from_names"], np.r_[sizes, np.array(row["from_sizes"], dtype=np.int64)]
                 count = np.bincount(pairs[:, 0], sizes[pairs[:, 1]], len(names)) + np.bincount(pairs[:, 1], sizes[pairs[:, 0]], len(names))
                 root = _roots(len(names), pairs)
                 at = np.flatnonzero(count).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in at], pa.binary()), pa.array(count[at].astype(np.int64), pa.int64()), pa.array([names[root[x]] for x in at], pa.binary())], ["name", "n", "root"])
+                # The first row is the block's audit; it has no name.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([None, *(names[x] for x in at)], pa.binary()), pa.array([0, *count[at].astype(np.int64).tolist()], pa.int64()), pa.array([None, *(names[root[x]] for x in at)], pa.binary()),
+                        pa.array([truth, *[0] * len(at)], pa.int64()), pa.array([hit, *[0] * len(at)], pa.int64()),
+                    ],
+                    ["name", "n", "root", "truth", "hit"],
+                )
 
     return run
 
 
-def near_duplicates(table: DataFrame, least: float = 0.98, recall: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row.
+def near_duplicates(table: DataFrame, least: float = 0.98, recall: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+    """(key, n_links, component_id, kept, audited_links, audited_recall) of every row.
 
-    ``recall`` is what the audits ask of each pair of shards. ``kept`` marks the row whose key is its
-    component's id, the least key in it.
+    ``recall`` is what the audits ask of each pair of shards, whose searches begin with ``beam``. ``kept`` marks the
+    row whose key is its component's id, the least key in it. The last two columns are of the whole run: true
+    links that the audits saw, and the share of them that the graphs had found (null if they saw none).
     """
     rows = table.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -142,24 +168,27 @@ def near_duplicates(table: DataFrame, least: float = 0.98, recall: float = 0.98,
     classes = stored(classes.withColumn("dim", (F.octet_length("vector") / 8).cast("int")), "vector-classes")
     counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     n_shards, n_pairs = counts.agg(F.sum("shards"), F.sum(F.col("shards") * (F.col("shards") + 1) / 2)).first()
-    found = None
+    linked = classes.select(F.col("name"), "size", "least", F.lit(0).cast("long").alias("n"), F.col("least").alias("id"))
+    truth = hit = 0
     if n_shards:
         deal = F.pmod(F.xxhash64("name"), F.col("shards")).cast("int")
         dealt = classes.join(counts, ["label", "dim"]).withColumn("shard", deal).select("label", "dim", "shard", "shards", "name", "size", "vector")
-        dealt = dealt.repartition(min(20_000, int(n_shards)), "label", "dim", "shard")
+        dealt = dealt.repartition(int(n_shards), "label", "dim", "shard")
         kind = kinds["label"]
         graphs = stored(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {kind}, dim int, shard int, shards int, names array<binary>, sizes array<long>, unit binary, graph binary"), "graphs")
         asked = graphs.select("label", "dim", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"), F.col("shard").alias("from_shard"), F.col("names").alias("from_names"), F.col("sizes").alias("from_sizes"), F.col("unit").alias("from_unit"))
         pairs = asked.join(graphs.drop("shards"), ["label", "dim", "shard"])
-        pairs = pairs.repartition(min(20_000, int(math.ceil(n_pairs))), "label", "dim", "shard", "from_shard")
-        found = stored(pairs.mapInArrow(_compare(least, recall), "name binary, n long, root binary"), "vector-links")
+        pairs = pairs.repartition(min(100_000, int(math.ceil(n_pairs))), "label", "dim", "shard", "from_shard")
+        found = stored(pairs.mapInArrow(_compare(least, recall, beam), "name binary, n long, root binary, truth long, hit long"), "vector-links")
+        truth, hit = found.agg(F.sum("truth"), F.sum("hit")).first()
+        found = found.where("name IS NOT NULL")
         roots = components(found.select(F.col("name").alias("a"), F.col("root").alias("b")), "vector-components")
-        linked = classes.join(found.groupBy("name").agg(F.sum("n").alias("n")), "name", "left").join(roots.withColumnRenamed("vertex", "name"), "name", "left")
-    else:
-        linked = classes.withColumn("n", F.lit(0).cast("long")).withColumn("root", F.lit(None).cast("binary"))
-    linked = linked.select(F.col("name").alias("of"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "name").alias("root"), "size", F.col("least").alias("first"))
-    ids = linked.groupBy(F.col("root").alias("whole")).agg(F.min("first").alias("id"))
-    linked = linked.join(ids, F.col("root") == F.col("whole"))
-    out = rows.drop("vector", "label").join(linked, F.col("name") == F.col("of"), "left")
+        joined = classes.join(found.groupBy("name").agg(F.sum("n").alias("n")), "name").join(roots.withColumnRenamed("vertex", "name"), "name")
+        joined = stored(joined.select("name", "size", "least", "n", "root"), "vector-linked")
+        ids = joined.groupBy("root").agg(F.min("least").alias("id"), F.count("*").alias("members"))
+        linked = linked.join(joined.select("name"), "name", "left_anti").unionByName(join_skewed(joined, ids, "root", "members").select("name", "size", "least", "n", "id"))
+    linked = linked.select("name", "size", (F.col("n") + F.col("size") - 1).alias("n_links"), "id")
+    out = join_skewed(rows.select("key", "name"), linked, "name", "size")
     component = F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("id"))
-    return out.select(F.col("key").alias(key), F.coalesce(F.col("n") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    audited = [F.lit(truth).cast("long").alias("audited_links"), F.lit(hit / truth if truth else None).cast("double").alias("audited_recall")]
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"), *audited)

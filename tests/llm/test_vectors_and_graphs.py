@@ -46,7 +46,48 @@ def got(df, **more):
 def test_whole_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
-    assert sorted(map(tuple, queries.op10_embedding_dedup(spark, SF).collect()), key=repr) == brute(rows)
+    found = queries.op10_embedding_dedup(spark, SF)
+    assert sorted(map(tuple, found.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr) == brute(rows)
+
+
+def test_recall_of_many_shards(spark):
+    """The vectors of sf0.1 and near copies of some, in several shards a label, against brute force."""
+    base = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rng = np.random.default_rng(6)
+    near = [(100_000 + 10 * k + j, (np.array(v) + rng.normal(size=len(v)) * s * np.linalg.norm(v) / len(v) ** 0.5).tolist(), label) for k, (_, v, label) in enumerate(base[::3]) for j, s in enumerate((0.1, 0.18, 0.2))]
+    rows = base + near
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    found = embeddings.near_duplicates(df, shard=128).collect()
+    true, held = sum(n for _, n, _, _ in want), {r.vec_id: r.n_links for r in found}
+    assert all(held[k] <= n for k, n, _, _ in want)
+    assert sum(held.values()) >= 0.98 * true > 1000
+    assert found[0].audited_recall >= 0.98 and found[0].audited_links > 1000
+
+
+def test_audits_see_sparse_links(spark):
+    """A few links among many unlinked vectors of several shards; beams begin at 1 and have to widen."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 48))
+    for k in range(0, 80, 2):
+        x[k + 1] = x[k] + rng.normal(size=48) * 0.08
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    want = brute(rows)
+    assert 0 < sum(n for _, n, _, _ in want) <= 80
+    found = embeddings.near_duplicates(df, shard=300, beam=1)
+    assert sum(r.n_links for r in found.collect()) >= 0.9 * sum(n for _, n, _, _ in want)
+    seen = found.first()
+    assert seen.audited_links > 0
+    assert seen.audited_recall >= 0.98
+
+
+def test_audit_counts_no_vector_with_itself():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, truth, hit = embeddings._audited(Graph.build(x), x, x, True, 0.98, 0.98, 4)
+    assert len(found) == truth == hit == 0
 
 
 @pytest.mark.parametrize("shard", [64, 2048])
