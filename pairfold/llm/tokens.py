@@ -5,9 +5,10 @@ sequence finds its pair of lowest rank, and all sequences apply theirs at the sa
 survives when no sequence has a pair is counted. Texts are cut into pre-tokens where no piece of
 the vocabulary can cross, so that the cuts change nothing.
 
-A sequence merges all occurrences of its lowest pair in one round only if no pair that arises on
-the way has a lower rank, as the library merges one pair at a time from the left; else it merges
-the leftmost one. The counts therefore equal the library's.
+A sequence merges the occurrences of its lowest pair in one round, from the left, up to the first one
+where a pair of lower rank arises, as the library merges one pair at a time; that pair is the lowest
+of the next round. The counts therefore equal the library's. Known words are kept with their counts
+in a table of bounded bytes; words too long for it, such as text without spaces, are merged anew.
 
 Defined cases: a null or empty text has 0 tokens; characters outside the vocabulary count their
 UTF-8 bytes (byte fallback); special strings inside texts are ordinary text. Rows are independent:
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-#: Words of a worker's table of known counts; it is emptied beyond that.
-KNOWN_WORDS = 400_000
+#: A worker's table of known counts is emptied beyond so many characters (and a fixed cost per word); longer words are not kept.
+KNOWN_CHARS, WORD_COST, LONGEST_KNOWN = 32_000_000, 80, 256
 
 
 @dataclass
@@ -44,10 +45,20 @@ class Merges:
 
 
 def read_pieces(path: str) -> Merges:
-    """The merges of a sentencepiece BPE model with byte fallback; runs on the driver."""
+    """The merges of a sentencepiece BPE model with byte fallback; runs on the driver.
+
+    An error for models whose counts this operator would not give: those that rewrite characters, drop
+    or join spaces, do not set a space before a text, or have no pieces for bytes.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    probe = " a  ﬁ Å\u3000x "
+    plain = SPACE + probe.replace(" ", SPACE)
+    if "".join(model.encode("a  b", out_type=str)) != f"{SPACE}a{SPACE}{SPACE}b" or model.normalize(probe) not in (plain, probe):
+        raise ValueError("the model rewrites texts before it cuts them")
+    if sum(model.is_byte(i) for i in range(model.get_piece_size())) != 256:
+        raise ValueError("the model has no pieces for bytes")
     normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     pieces = [model.id_to_piece(i) for i in sorted(normal, key=lambda i: (-model.get_score(i), i))]
     rank = {p: k for k, p in enumerate(pieces)}
@@ -158,7 +169,10 @@ class Merger:
         bad[inner] |= self.rank(made[inner], sym[at[inner] + 2]) < made[inner]
         if not bad.any():
             return at
-        return at[~(again & np.isin(segment[at], segment[at[bad]]))]
+        # The places behind a sequence's first bad one wait for the next round.
+        seen = np.cumsum(bad) - bad
+        begin = np.flatnonzero(~again)
+        return at[seen == np.repeat(seen[begin], np.diff(np.r_[begin, len(at)]))]
 
 
 #: A run of spaces with the word behind it, or a line break; no piece of a model that splits by white space goes on behind one.
@@ -169,18 +183,24 @@ class Counter:
     """Counts texts; known words are kept in a bounded table."""
 
     def __init__(self, merges: Merges) -> None:
-        self.merger, self.known = Merger(merges), {}
+        self.merger, self.known, self.held = Merger(merges), {}, 0
         inner = {(k >> 32, k & 0xFFFFFFFF) for k in merges.bigram_key.tolist()}
         assert not any(b == ord(SPACE) != a or ord("\n") in (a, b) for a, b in inner), "pieces cross the pre-tokens"
 
     def texts(self, texts: list[str | None]) -> list[int]:
         split = [PRETOKEN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
+        if self.held > KNOWN_CHARS:
             self.known.clear()
+            self.held = 0
         new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, self.merger.counts(new).tolist(), strict=True))
-        get = self.known.__getitem__
-        return [sum(map(get, words)) for words in split]
+        counts = dict(zip(new, self.merger.counts(new).tolist(), strict=True))
+        kept = {w: n for w, n in counts.items() if len(w) <= LONGEST_KNOWN}
+        self.known.update(kept)
+        self.held += sum(map(len, kept)) + WORD_COST * len(kept)
+        if len(kept) == len(counts):
+            get = self.known.__getitem__
+            return [sum(map(get, words)) for words in split]
+        return [sum(counts[w] if w in counts else self.known[w] for w in words) for words in split]
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
