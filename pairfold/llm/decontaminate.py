@@ -5,9 +5,10 @@ numbered by a vocabulary of the benchmark's words, hashed, sorted and broadcast.
 turned into vocabulary numbers once; only places where a whole window of known words stands are
 hashed and looked up, and a hit is verified number by number, so that no hash can invent one.
 
-What is broadcast is bounded: the benchmark is measured first, and beyond ``max_bytes`` of text it
-is cut into slices by a hash of the item; each slice is its own broadcast and its own pass, whose
-spans are merged into those of the passes before it.
+What is broadcast is bounded: the benchmark's words are counted first, and beyond ``max_bytes`` of
+index it is cut into slices by a hash of the item. Each slice is its own broadcast and its own pass over
+the documents, whose spans are written out and merged into those of the next pass, so that a task holds
+one slice at a time and the driver drops each one when its pass is done.
 
 Defined cases: a null or empty text has no words; a null or wordless item has no window; items that
 share a window are all reported; equal items are all reported, items without an id under ``null``;
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairfold.llm.common import stored
+
 #: Bytes to word bytes or spaces: ASCII letters (made small) and digits, and all of UTF-8 beyond ASCII.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 OVERLAP = "n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -34,12 +37,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+#: Bytes of the index per word of the benchmark, beside the window's numbers: hash, item numbers, vocabulary.
+WORD_BYTES = 96
+
+
 @dataclass
 class Index:
-    """``by_length``: for each length of a window the sorted hashes, the words' numbers, and the items that hold each."""
+    """``by_length``: for each length of a window the sorted hashes, the words' numbers, and the items that hold each.
+
+    The items of window k are ``items[ends[k-1]:ends[k]]``, numbers of ``names``.
+    """
 
     vocabulary: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, list[list[str]]]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    names: list[str]
     multiplier: int
 
 
@@ -52,25 +63,32 @@ def _hash(columns: list[np.ndarray], multiplier: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[str, bytes]], n: int) -> Index:
+    """Windows are made, sorted and told apart as arrays; equal ones are one with several items."""
     vocabulary: dict[bytes, int] = {}
-    held: dict[int, dict[tuple[int, ...], list[str]]] = {}
-    for name, text in items:
-        numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
+    found: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for k, (_, text) in enumerate(items):
+        numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int32)
         size = min(n, len(numbers))
-        for window in {tuple(numbers[k : k + size]) for k in range(len(numbers) - size + 1)} if size else ():
-            held.setdefault(size, {}).setdefault(window, []).append(name)
+        if size:
+            found.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(numbers, size), k))
     multiplier = 0x9E3779B97F4A7C15
-    while True:
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+    while len(by_length) < len(found):
         by_length = {}
-        for size, windows in held.items():
-            numbers = np.array(list(windows), dtype=np.int32).reshape(-1, size)
-            hashes = _hash([numbers[:, k] for k in range(size)], multiplier)
-            order = np.argsort(hashes, kind="stable")
-            names = list(windows.values())
-            by_length[size] = hashes[order], numbers[order], [names[k] for k in order.tolist()]
-        if all(len(np.unique(h)) == len(h) for h, _, _ in by_length.values()):
-            return Index(vocabulary, by_length, multiplier)
-        multiplier += 2  # two windows met in one hash; no window may hide another
+        for size, views in found.items():
+            windows = np.concatenate([w for w, _ in views])
+            item = np.repeat(np.array([k for _, k in views], dtype=np.int32), [len(w) for w, _ in views])
+            hashes = _hash([windows[:, c] for c in range(size)], multiplier)
+            order = np.lexsort((item, hashes))
+            hashes, windows, item = hashes[order], windows[order], item[order]
+            new = np.r_[True, hashes[1:] != hashes[:-1]]
+            if ((windows[1:] != windows[:-1]).any(axis=1) & ~new[1:]).any():
+                multiplier += 2  # two windows met in one hash; no window may hide another
+                break
+            held = np.r_[True, (item[1:] != item[:-1]) | new[1:]]  # an item may hold a window twice
+            ends = np.searchsorted(np.flatnonzero(held), np.r_[np.flatnonzero(new)[1:], len(item)])
+            by_length[size] = hashes[new], windows[new], item[held], ends
+    return Index(vocabulary, by_length, [name for name, _ in items], multiplier)
 
 
 def find(text: bytes | None, index: Index) -> tuple[int, list[int], list[int], list[str]]:
@@ -80,7 +98,7 @@ def find(text: bytes | None, index: Index) -> tuple[int, list[int], list[int], l
     numbers = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
     known = np.r_[0, np.cumsum(numbers >= 0)]
     marks, names = None, set()
-    for size, (sorted_hashes, held, items) in index.by_length.items():
+    for size, (sorted_hashes, held, items, ends) in index.by_length.items():
         if len(words) < size or known[-1] < size:
             continue
         at = np.flatnonzero(known[size:] - known[:-size] == size)
@@ -97,7 +115,7 @@ def find(text: bytes | None, index: Index) -> tuple[int, list[int], list[int], l
             np.add.at(marks, at[hit], 1)
             np.add.at(marks, at[hit] + size, -1)
             for p in np.unique(place[hit]).tolist():
-                names.update(items[p])
+                names.update(index.names[k] for k in items[ends[p - 1] if p else 0 : ends[p]].tolist())
     if marks is None:
         return len(words), [], [], []
     edges = np.diff(np.r_[0, (np.cumsum(marks)[:-1] > 0).astype(np.int8), 0])
@@ -114,17 +132,24 @@ def _merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
     return [a for a, _ in out], [b for _, b in out]
 
 
-def with_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", max_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` and the column __overlap (n_words, starts, ends, items), with no shuffle."""
+def with_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", max_bytes: int = 128 << 20) -> DataFrame:
+    """``docs`` and the column __overlap (n_words, starts, ends, items), with no shuffle.
+
+    ``max_bytes`` bounds the index of a pass, by its size in memory.
+    """
     spark = docs.sparkSession
     kept = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("body")).where("body IS NOT NULL")
-    total = kept.agg(F.sum(F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
+    words = F.regexp_count("body", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = kept.agg(F.sum(words * (4 * n + WORD_BYTES) + F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
     slices = max(1, math.ceil(total / max_bytes))
     out = docs.withColumn("__overlap", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in OVERLAP.split(', '))}>").alias("__overlap"))
     for k in range(slices):
         part = kept if slices == 1 else kept.where(F.pmod(F.xxhash64("name", "body"), F.lit(slices)) == k)
         index = spark.sparkContext.broadcast(vars(build_index([(r.name, r.body.encode()) for r in part.collect()], n)))
         out = out.mapInArrow(_matcher(index, docs.columns.index(text), k > 0), out.schema)
+        if slices > 1:
+            out = stored(out, "overlaps")
+            index.unpersist()
     return out
 
 
