@@ -6,9 +6,10 @@ all labelled texts per language, adds the counts up in Spark and keeps each lang
 compared to each profile: the distance is the sum of the differences of places, a missing n-gram
 counts ``profile``. The least distance names the language.
 
-A document's n-grams are ranked among those that are in the ``known`` most frequent ones of some
-language; its text is read whole. The profiles, a few thousand n-grams per language, are broadcast;
-the number of languages is checked against ``max_languages``.
+A document's profile is its ``profile`` most frequent n-grams, whether a language knows them or not; of
+equally frequent ones those that stand higher in some language's list come first, then the lower bytes.
+Its text is read whole. The lists, a few thousand n-grams per language, are broadcast; the number of
+languages is checked against ``max_languages``.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any training
 text all are ``und``; equal distances go to the language that sorts first; null labels and null
@@ -44,26 +45,42 @@ def grams(b: np.ndarray) -> list[np.ndarray]:
     return [one, two, (two[:-1] << 8) | one[2:]]
 
 
+#: N-grams of a language that a task holds before it sends their counts.
+HELD = 1 << 22
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their counts."""
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams per language; memory follows the n-grams that are there, not those that may be."""
+    held: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+
+    def rows(lang: str) -> pa.RecordBatch:
+        found, n = _added(*held.pop(lang))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lang in sorted(set(langs)):
-            total = np.zeros(1 << 24, dtype=np.int64)
-            group, size = [], 0
-            for k, of in enumerate(langs):
-                if of == lang:
-                    group.append(letters(texts[k].as_py()))
-                    size += len(group[-1])
-                if size > 4_000_000 or k == len(langs) - 1:
-                    joined = np.concatenate(group) if group else np.zeros(0, dtype=np.uint8)
-                    for keys in grams(joined) if len(joined) > 2 else ():
-                        total += np.bincount(keys, minlength=1 << 24) if len(keys) > 1 << 20 else 0
-                        if len(keys) <= 1 << 20:
-                            found, n = np.unique(keys, return_counts=True)
-                            total[found] += n
-                    group, size = [], 0
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["lang", "gram", "n"])
+        by_lang: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by_lang.setdefault(lang, []).append(letters(text.as_py()))
+        for lang, texts in by_lang.items():
+            joined = np.concatenate(texts)
+            if len(joined) <= 2:
+                continue
+            keys, counts = held.setdefault(lang, ([], []))
+            for found, n in (np.unique(x, return_counts=True) for x in grams(joined)):
+                keys.append(found)
+                counts.append(n)
+            if sum(map(len, keys)) > HELD:
+                held[lang] = tuple([x] for x in _added(keys, counts))
+                if len(held[lang][0][0]) > HELD // 2:
+                    yield rows(lang)
+    for lang in list(held):
+        yield rows(lang)
 
 
 def learn(labelled: DataFrame, known: int = 1500, lang: str = "lang", text: str = "text", max_languages: int = 1000) -> dict[str, list[int]]:
@@ -106,27 +123,26 @@ class Profiles:
     def of(self, text: str | None) -> tuple[str, float]:
         if not self.langs or text is None or not LETTER.search(text):
             return UNKNOWN, 0.0
-        numbers = [self.number[keys] for keys in grams(letters(text))]
-        if 16 * sum(map(len, numbers)) < self.size:
-            found, n = np.unique(np.concatenate(numbers), return_counts=True)
-            found, n = found[found > 0].astype(np.int64), n[found > 0]
-        else:
-            n = sum(np.bincount(x, minlength=self.size + 1) for x in numbers)
-            n[0] = 0
-            found = np.flatnonzero(n)
-            n = n[found]
-        ranked = n * self.size + self.size - found
-        if len(ranked) > self.profile:
-            ranked = np.partition(ranked, len(ranked) - self.profile)[-self.profile :]
-        top = self.size - 1 - np.sort(ranked)[::-1] % self.size
+        each = [np.unique(keys, return_counts=True) for keys in grams(letters(text))]
+        found, n = (np.concatenate(x) for x in zip(*each, strict=True))
+        kept = (found != SPACE) & (found != (SPACE << 8 | SPACE))
+        found, n = found[kept], n[kept]
+        if len(found) > self.profile:  # those as frequent as the last one are ranked too
+            kept = n >= np.partition(n, len(n) - self.profile)[len(n) - self.profile]
+            found, n = found[kept], n[kept]
+        number = self.number[found].astype(np.int64) - 1
+        number[number < 0] = self.size
+        top = number[np.lexsort((found, number, -n))[: self.profile]]
+        ranks = np.flatnonzero(top < self.size)
+        known = top[ranks]
         # A missing n-gram counts ``profile``; the entries of those that are there make up the difference.
-        sizes = self.start[top + 1] - self.start[top]
-        at = np.repeat(self.start[top] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        away = np.abs(self.place[at] - np.repeat(np.arange(len(top)), sizes)) - self.profile
+        sizes = self.start[known + 1] - self.start[known]
+        at = np.repeat(self.start[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        away = np.abs(self.place[at] - np.repeat(ranks, sizes)) - self.profile
         distance = np.full(len(self.langs), self.profile * len(top), dtype=np.int64)
         np.add.at(distance, self.lang[at], away)
         k = int(distance.argmin())
-        return self.langs[k], float(1 - distance[k] / (self.profile * len(top))) if len(top) else 0.0
+        return self.langs[k], float(1 - distance[k] / (self.profile * len(top)))
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]], profile: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
