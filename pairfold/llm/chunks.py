@@ -175,6 +175,16 @@ def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarra
     return stored(sent.where("part >= 0").repartition(ranges, "part").groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
 
 
+def total_of(results: DataFrame, level: int) -> int:
+    """The sum of the ranges' summaries of a level."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack_ints(x.as_py())[0]) for x in batch.column(0))], pa.int64())], ["n"])
+
+    return int(results.where(F.col("level") == level).where("chunk = -1").select("result").mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
 def with_results(chunks: DataFrame, *results: DataFrame) -> DataFrame:
     """The chunk table and, for each of ``results``, a column r0, r1, ... of its rows for the chunk."""
     for k, result in enumerate(results):

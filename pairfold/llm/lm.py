@@ -8,8 +8,8 @@ with h_n the last n-1 words, and the bucket of h by the count of the longest con
 two. The weights are learned by expectation-maximisation on held-out counts: every training text is
 held out in turn, its tokens being predicted from the counts with the text's own ones deleted. What
 these predictions look like is gathered over all training tokens in a table of (bucket, the orders'
-estimates in steps of an eighth of an octave), whose size does not grow with the corpus; each step
-of the EM runs over that table.
+estimates in steps of an eighth of an octave, down to 2^-50). Each step of the EM is one aggregate over
+that table, which stays in Spark; a number per bucket and order comes to the driver.
 
 Counts are exact and cover all training texts. They are added up and brought back by the exchange
 of pairfold.llm.chunks; nothing that grows with the corpus reaches the driver or is broadcast.
@@ -25,12 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairfold.llm.chunks import blobs, combined, map_rows, mix, ranges_for, results_of, send, unpack_ints, with_results
-from pairfold.llm.common import text_bytes
+from pairfold.llm.chunks import blobs, combined, map_rows, mix, ranges_for, results_of, send, total_of, with_results
+from pairfold.llm.common import stored, text_bytes
 from pairfold.llm.words import word_chunks, words_and_tokens
 
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x0BE6190BE6190BE6)
-STEPS, FLOOR = 8, 300  # steps an octave; the estimates' least exponent is -FLOOR / STEPS
+STEPS, FLOOR = 8, 400  # steps an octave; the estimates' least exponent is -FLOOR / STEPS
 BUCKETS = 64
 
 
@@ -66,9 +66,13 @@ class Tokens:
 
     def own(self, level: int) -> np.ndarray:
         """How often a token's n-gram stands in its own text."""
-        pair = self.place[level].astype(np.int64) * (int(self.doc[-1]) + 1 if len(self.doc) else 1) + self.doc
+        place = self.place[level]
+        out = np.ones(len(place), dtype=np.int64)
+        often = np.flatnonzero(np.bincount(place)[place] > 1) if len(place) else place
+        pair = place[often].astype(np.int64) * (int(self.doc[-1]) + 1 if len(self.doc) else 1) + self.doc[often]
         _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-        return n[back]
+        out[often] = n[back]
+        return out
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -94,31 +98,44 @@ def _estimates(tokens: Tokens, rows: list[dict], total: int, texts: int, deleted
     return counts, contexts
 
 
-def _em(cells: list[tuple[int, np.ndarray, float]], order: int, steps: int) -> np.ndarray:
-    """weights[bucket, 0..order] from (bucket, estimates of the orders 0..order, tokens)."""
-    weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
-    if cells:
-        bucket = np.array([c[0] for c in cells])
-        p = np.array([c[1] for c in cells])
-        n = np.array([c[2] for c in cells], dtype=np.float64)
-        for b in [None, *np.unique(bucket).tolist()]:  # all buckets together serve those that no token is in
-            mine = slice(None) if b is None else bucket == b
-            w = np.full(order + 1, 1 / (order + 1))
-            for _ in range(steps):
-                r = p[mine] * w
-                r *= (n[mine] / np.maximum(r.sum(axis=1), 1e-300))[:, None]
-                w = np.maximum(r.sum(axis=0) / r.sum(), 1e-7)
-                w /= w.sum()
-            weights[slice(None) if b is None else b] = w
-    return weights
-
-
-def score(docs: DataFrame, train: Column, order: int = 2, em_steps: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: The buckets taken together; their weights serve a bucket that no token is in.
+ALL = -1
+
+
+def _em(cells: DataFrame, order: int, distinct: int, steps: int, close: float = 1e-4) -> np.ndarray:
+    """weights[bucket, 0..order] from rows (bucket, q1..q<order>, n) of estimates in steps; ends when no weight moves by ``close``."""
+    weights = np.full((BUCKETS + 1, order + 1), 1 / (order + 1))  # the last row is that of all buckets
+    values = [F.lit(1 / (distinct + 1)), *(F.when(F.col(f"q{k}") > FLOOR, 0.0).otherwise(F.pow(F.lit(2.0), -F.col(f"q{k}") / F.lit(float(STEPS)))) for k in range(1, order + 1))]
+    every = cells.select(F.explode(F.array("bucket", F.lit(ALL))).alias("bucket"), "n", *(v.alias(f"p{k}") for k, v in enumerate(values)))
+    every = stored(every.groupBy("bucket", *(f"p{k}" for k in range(order + 1))).agg(F.sum("n").alias("n")), "lm-cells")
+    seen: set[int] = set()
+    for _ in range(steps):
+        table = F.split(F.lit(",".join(repr(float(x)) for x in weights.ravel())), ",").cast("array<double>")
+        at = F.when(F.col("bucket") == ALL, BUCKETS).otherwise(F.col("bucket")) * (order + 1)
+        parts = every.select("bucket", "n", *((F.col(f"p{k}") * F.element_at(table, (at + (k + 1)).cast("int"))).alias(f"r{k}") for k in range(order + 1)))
+        whole = F.greatest(sum((F.col(f"r{k}") for k in range(1, order + 1)), F.col("r0")), F.lit(1e-300))
+        new, far = weights.copy(), 0.0
+        for row in parts.groupBy("bucket").agg(*(F.sum(F.col("n") * F.col(f"r{k}") / whole).alias(f"s{k}") for k in range(order + 1))).collect():
+            w = np.array([row[f"s{k}"] for k in range(order + 1)])
+            w = np.maximum(w / w.sum(), 1e-7)
+            far = max(far, float(np.abs(w / w.sum() - weights[row.bucket]).max()))
+            new[row.bucket] = w / w.sum()
+            seen.add(row.bucket)
+        weights = new
+        if far < close:
+            break
+    weights[[b for b in range(BUCKETS) if b not in seen]] = weights[ALL]
+    return weights[:BUCKETS]
+
+
+def score(docs: DataFrame, train: Column, order: int = 3, em_steps: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Scores are log10 probabilities of the whole text with its end; ``base_score`` is the add-one
     unigram's. ``train`` marks the rows to learn from.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("orders are from 1 to 6")
     n_bytes = text_bytes(docs, text)
     ranges = ranges_for(n_bytes)
     table = word_chunks(docs, F.col(key), [(F.coalesce(train, F.lit(False)), "train", "boolean")], F.col(text), n_bytes)
@@ -132,7 +149,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, em_steps: int = 60, ke
         return out
 
     sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()))
-    distinct = sum(int(unpack_ints(r.result)[0]) for r in sums.where("chunk = -1 AND level = 1").select("result").toLocalIterator())
+    distinct = total_of(sums, 1)
     size = table.select(F.explode(F.arrays_zip("train", "n_words")).alias("d")).where("d.train").agg(F.sum(F.col("d.n_words") + 1), F.count("*")).first()
     total, texts = int(size[0] or 0), int(size[1])
     joined = with_results(table, sums)
@@ -147,14 +164,10 @@ def score(docs: DataFrame, train: Column, order: int = 2, em_steps: int = 60, ke
         found, n = np.unique(cell[tokens.train], return_counts=True)
         return {"cell": found, "n": n}
 
-    cells = []
-    for r in map_rows(joined, look, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        at, p = r.cell, []
-        for _ in range(order):
-            at, q = divmod(at, FLOOR + 2)
-            p.append(0.0 if q == FLOOR + 1 else 2.0 ** (-q / STEPS))
-        cells.append((at, np.array([1 / (distinct + 1), *p[::-1]]), r.n))
-    weights = _em(cells, order, em_steps)
+    found = map_rows(joined, look, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    digits = [F.pmod(F.expr(f"cell div {(FLOOR + 2) ** (order - k)}"), F.lit(FLOOR + 2)).cast("int").alias(f"q{k}") for k in range(1, order + 1)]
+    cells = found.select(F.expr(f"cell div {(FLOOR + 2) ** order}").cast("int").alias("bucket"), *digits, "n")
+    weights = _em(cells, order, distinct, em_steps)
 
     def rate(row: dict) -> dict[str, list]:
         tokens = Tokens(row, order)

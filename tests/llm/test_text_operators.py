@@ -203,30 +203,43 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert clean.columns == df.columns and clean.count() == sum(1 for w in want if not w[2])
 
 
-def lm_brute(rows, train, steps=60):
-    """The deleted-interpolation bigram with plain dictionaries; estimates are not rounded for the EM."""
+def lm_brute(rows, train, order, steps=60):
+    """Deleted interpolation with plain dictionaries; estimates are not rounded for the EM."""
     seqs = [[*words(t), None] for _, t in rows]
-    uni, bi = collections.Counter(), collections.Counter()
-    for s, ok in zip(seqs, train, strict=True):
+    gram = lambda s, k, n: tuple(s[k - n + 1 : k + 1]) if k + 1 >= n else ("<", *s[: k + 1])
+    grams = lambda s: [[gram(s, k, n) for n in range(1, order + 1)] for k in range(len(s))]
+    made = [grams(s) for s in seqs]
+    counts = [collections.Counter() for _ in range(order)]
+    for g, ok in zip(made, train, strict=True):
         if ok:
-            uni.update(s)
-            bi.update(zip(["<"] + s[:-1], s))
-    total, texts, distinct = sum(uni.values()), sum(train), len(uni)
+            for token in g:
+                for n in range(order):
+                    counts[n][token[n]] += 1
+    total, texts, distinct = sum(counts[0].values()), sum(train), len(counts[0])
     bucket = lambda h: 0 if h <= 0 else h.bit_length()
+
+    def estimates(g, k, minus, size, n_texts):
+        """(count, context count) of each order at token k."""
+        out = []
+        for n in range(order):
+            c = counts[n][g[k][n]] - minus[n][g[k][n]]
+            h = total - size if n == 0 else n_texts if k == 0 else counts[n - 1][g[k - 1][n - 1]] - minus[n - 1][g[k - 1][n - 1]]
+            out.append((c, h))
+        return out
+
     cells = collections.defaultdict(collections.Counter)
-    for s, ok in zip(seqs, train, strict=True):
+    nothing = [collections.Counter() for _ in range(order)]
+    for g, ok in zip(made, train, strict=True):
         if ok:
-            own, own2 = collections.Counter(s), collections.Counter(zip(["<"] + s[:-1], s))
-            for h, w in zip(["<"] + s[:-1], s):
-                ch = texts - 1 if h == "<" else uni[h] - own[h]
-                p1 = (uni[w] - own[w]) / (total - len(s)) if total > len(s) else 0.0
-                p2 = (bi[h, w] - own2[h, w]) / ch if ch else 0.0
-                cells[bucket(ch)][1 / (distinct + 1), p1, p2] += 1
+            own = [collections.Counter(token[n] for token in g) for n in range(order)]
+            for k in range(len(g)):
+                e = estimates(g, k, own, len(g), texts - 1)
+                cells[bucket(e[-1][1])][1 / (distinct + 1), *(c / h if h > 0 else 0.0 for c, h in e)] += 1
 
     def em(cell):
-        w = [1 / 3] * 3
+        w = [1 / (order + 1)] * (order + 1)
         for _ in range(steps):
-            r = [0.0] * 3
+            r = [0.0] * (order + 1)
             for p, n in cell.items():
                 x = [a * b for a, b in zip(p, w)]
                 r = [a + n * b / max(sum(x), 1e-300) for a, b in zip(r, x)]
@@ -238,21 +251,22 @@ def lm_brute(rows, train, steps=60):
     for c in cells.values():
         whole.update(c)
     weights = {b: em(c) for b, c in cells.items()}
-    rest = em(whole) if whole else [1 / 3] * 3
+    rest = em(whole) if whole else [1 / (order + 1)] * (order + 1)
     out = []
-    for (key, _), s in zip(rows, seqs, strict=True):
+    for (key, _), s, g in zip(rows, seqs, made, strict=True):
         score = base = 0.0
-        for h, w in zip(["<"] + s[:-1], s):
-            ch = texts if h == "<" else uni[h]
-            a = weights.get(bucket(ch), rest)
-            p = a[0] / (distinct + 1) + (a[1] * uni[w] / total if total else 0) + (a[2] * bi[h, w] / ch if ch else 0)
+        for k in range(len(s)):
+            e = estimates(g, k, nothing, 0, texts)
+            a = weights.get(bucket(e[-1][1]), rest)
+            p = a[0] / (distinct + 1) + sum(w * c / h for w, (c, h) in zip(a[1:], e) if h > 0)
             score += math.log10(p if total else 1 / (distinct + 1))
-            base += math.log10((uni[w] + 1) / (total + distinct + 1))
-        out.append((key, len(s), sum(uni[w] > 0 for w in s), total, base, score))
+            base += math.log10((e[0][0] + 1) / (total + distinct + 1))
+        out.append((key, len(s), sum(counts[0][w,] > 0 for w in s), total, base, score))
     return sorted(out, key=repr)
 
 
-def test_lm_equals_brute_force(texts):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_equals_brute_force(texts, order):
     df, rows = texts
     train = [k is not None and zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows]
     from pyspark.sql import functions as F
@@ -260,8 +274,8 @@ def test_lm_equals_brute_force(texts):
     from pairfold.llm.common import crc_mod
 
     flag = (crc_mod("doc_id", 7) != 2) & F.col("doc_id").isNotNull()
-    got = rows_of(lm.score(df, flag), "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    want = lm_brute(rows, train)
+    got = rows_of(lm.score(df, flag, order), "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want = lm_brute(rows, train, order)
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=lambda r: (repr(r[0]), r[1:3], round(r[4], 3))), sorted(want, key=lambda r: (repr(r[0]), r[1:3], round(r[4], 3))), strict=True):
         assert g[:4] == w[:4]
@@ -304,6 +318,31 @@ def test_token_counts_of_random_strings():
     assert counter.texts(made) == [len(x) for x in library.encode(made)]
 
 
+def test_token_counts_of_long_words():
+    """Text without spaces is one pre-token; it is merged in few rounds and not kept."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, counter = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Counter(tokens.read_pieces(path))
+    rng = random.Random(12)
+    made = ["".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "ab" * 40_000, "aaab" * 10_001, "the" * 20_000 + " end", "=" * 30_011]
+    assert counter.texts(made) == [len(x) for x in library.encode(made)]
+    assert all(len(w) <= tokens.LONGEST_KNOWN for w in counter.known)
+
+
+def test_token_counts_with_a_small_table(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    merges = tokens.read_pieces(path)
+    made = [f"word{k} and {k * 7} others" for k in range(300)]
+    whole = tokens.Counter(merges).texts(made)
+    monkeypatch.setattr(tokens, "KNOWN_CHARS", 100)
+    counter = tokens.Counter(merges)
+    assert [counter.texts([t])[0] for t in made] == whole
+
+
 def auc(rows):
     order = sorted(rows)
     ranks, k = {}, 0
@@ -409,10 +448,8 @@ def language_brute(known, profile, text):
     for x in known.values():
         for place, g in enumerate(x):
             best[g] = min(place, best.get(g, place))
-    n = collections.Counter(g for keys in language.grams(language.letters(text)) for g in keys.tolist() if g in best)
-    top = sorted(n, key=lambda g: (-n[g], best[g], g))[:profile]
-    if not top:
-        return next(iter(known)), 0.0
+    n = collections.Counter(g for keys in language.grams(language.letters(text)) for g in keys.tolist() if g not in (0x20, 0x2020))
+    top = sorted(n, key=lambda g: (-n[g], best.get(g, 1 << 40), g))[:profile]
     away = {}
     for lang, x in known.items():
         places = {g: place for place, g in enumerate(x[:profile])}
@@ -421,6 +458,28 @@ def language_brute(known, profile, text):
     return lang, 1 - away[lang] / (profile * len(top))
 
 
+def test_language_query_equals_brute_force(spark):
+    """Profiles and distances of a whole table with plain dictionaries."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            counts[r.lang].update(g for keys in language.grams(language.letters(r.text)) for g in keys.tolist() if g not in (0x20, 0x2020))
+    known = {lang: sorted(n, key=lambda g: (-n[g], g))[:1500] for lang, n in sorted(counts.items())}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op5_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = language_brute(known, 400, r.text) if r.text is not None and language.LETTER.search(r.text) else ("und", 0.0)
+        assert got[r.doc_id][0] == want[0] and got[r.doc_id][1] == pytest.approx(want[1], abs=1e-12)
+
+
+def test_language_counts_in_parts(spark, odd, monkeypatch):
+    """Counts that leave a task in several parts."""
+    whole = language.learn(odd)
+    monkeypatch.setattr(language, "HELD", 50)
+    assert language.learn(odd) == whole
+
+
 @pytest.mark.parametrize("languages", [4, 60, 1000])
 def test_language_of_many_languages(languages):
     """1000 languages of 1500 n-grams each, mostly disjoint: more n-grams than 16 bits number, more places than a table holds."""
