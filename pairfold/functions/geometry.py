@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,13 +46,33 @@ class Cell:
     def __post_init__(self) -> None:
         if any(e is not None and not 0 < e < float("inf") for e in self.edges):
             raise ValueError("edges must be finite and positive")
+        if not self.rectangular and (len(self.edges) != 3 or None in self.edges):
+            raise ValueError("a tilted cell has three periodic axes")
 
     @property
     def rectangular(self) -> bool:
         return self.tilts == (0.0, 0.0, 0.0)
 
+    @property
+    def widths(self) -> tuple[float | None, ...]:
+        """The distances of opposite faces; those of a rectangular cell are its edges."""
+        if self.rectangular:
+            return self.edges
+        (a, b, c), (bx, cx, cy) = self.edges, self.tilts
+        along = math.sqrt((b * c) ** 2 + (bx * c) ** 2 + (bx * cy - b * cx) ** 2)  # |b x c|
+        return a * b * c / along, b * c / math.hypot(c, cy), c
+
+    def fractional(self, x: Vector) -> Vector:
+        """Positions in units of the lattice vectors; all axes must be periodic."""
+        if self.rectangular:
+            return tuple(c / F.lit(e) for c, e in zip(x, self.edges, strict=True))
+        (a, b, c), (bx, cx, cy) = self.edges, self.tilts
+        w = x[2] / F.lit(c)
+        v = (x[1] - F.lit(cy) * w) / F.lit(b)
+        return (x[0] - F.lit(bx) * v - F.lit(cx) * w) / F.lit(a), v, w
+
     def image(self, d: Vector) -> Vector:
-        """The nearest image of a difference (for a tilted cell: by rounding from the last axis on)."""
+        """The nearest image of a difference, if that is shorter than half of each of ``widths``."""
         if self.rectangular:
             return tuple(x if e is None else x - F.lit(e) * F.rint(x / F.lit(e)) for x, e in zip(d, self.edges, strict=True))
         x, y, z = d
@@ -64,7 +86,9 @@ class Cell:
     def wrapped(self, x: Vector) -> Vector:
         """Positions moved into the cell."""
         if not self.rectangular:
-            raise ValueError("wrapping is for rectangular cells")
+            (a, b, c), (bx, cx, cy) = self.edges, self.tilts
+            u, v, w = (F.floor(f) for f in self.fractional(x))
+            return x[0] - a * u - bx * v - cx * w, x[1] - b * v - cy * w, x[2] - c * w
         return tuple(c if e is None else c - F.lit(e) * F.floor(c / F.lit(e)) for c, e in zip(x, self.edges, strict=True))
 
 
@@ -75,10 +99,16 @@ def angle(a: Vector, b: Vector, c: Vector) -> Column:
 
 
 def dihedral(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
-    """In (-pi, pi]."""
-    f, g, h = minus(a, b), minus(b, c), minus(d, c)
-    p, q = cross(f, g), cross(h, g)
-    return F.atan2(dot(cross(q, p), g) / norm(g), dot(p, q))
+    """The angle in (-pi, pi] between the plane of a, b, c and that of b, c, d, turned about the line from b to c."""
+    first, axis, last = minus(b, a), minus(c, b), minus(d, c)
+    normal = cross(axis, last)
+    return F.atan2(norm(axis) * dot(first, normal), dot(cross(first, axis), normal))
+
+
+def checked_rectangular(edges: list[Column], tilts: list[Column]) -> list[Column]:
+    """The edges of a cell that stands in columns; an error where one is not finite and positive, or a tilt is not 0."""
+    bad = reduce(Column.__or__, [~((e > 0) & (e < float("inf"))) | e.isNull() for e in edges] + [(t != 0) | t.isNull() for t in tilts])
+    return [F.when(bad, F.raise_error(F.lit("a rectangular cell needs finite positive edges and no tilts")).cast("double")).otherwise(e) for e in edges]
 
 
 def wrapped_angle(x: Column) -> Column:

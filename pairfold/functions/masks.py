@@ -1,10 +1,15 @@
 """Row selections as Columns: numbers by ranges, names by patterns, two levels, set operations by & | ~.
 
 A selection is an ordinary predicate, so that it reaches the scan.
+
+``parsed`` reads selections as text: ``:`` and the numbers or names of a group, ``@`` and those of an
+item, ``:group@item`` for both, ``*`` for everything, and ``!``, ``&``, ``|`` and parentheses, of which
+``!`` binds most and ``|`` least.
 """
 
 from __future__ import annotations
 
+import ast
 import re
 from functools import reduce
 
@@ -42,6 +47,50 @@ def everything() -> Column:
     return F.lit(True)
 
 
+#: A list of numbers, ranges and patterns, and a level or two of them.
+_ITEMS = r"[^,&|!()@:\s]+(?:\s*,\s*[^,&|!()@:\s]+)*"
+_LEVELS = re.compile(rf":\s*(?P<group>{_ITEMS})\s*(?:@\s*(?P<item>{_ITEMS}))?|@\s*(?P<only>{_ITEMS})")
+
+
+def _listed(number: str | Column, name: str | Column, items: str) -> Column:
+    parts = []
+    for item in re.split(r"\s*,\s*", items):
+        parts.append(numbers(number, item) if item[0].isdigit() else names(name, item))
+    return reduce(Column.__or__, parts)
+
+
+def parsed(text: str, group: tuple[str | Column, str | Column], item: tuple[str | Column, str | Column]) -> Column:
+    """The predicate of a selection; ``group`` and ``item`` are the columns of numbers and names of the two levels."""
+    found: list[Column] = []
+
+    def level(m: re.Match) -> str:
+        parts = [_listed(*columns, items) for columns, items in ((group, m["group"]), (item, m["item"] or m["only"])) if items]
+        found.append(reduce(Column.__and__, parts))
+        return f" s{len(found)} "
+
+    if not re.fullmatch(r"[\s*!&|()]*", _LEVELS.sub("", text)):
+        raise ValueError(f"not a selection: {text!r}")
+    rest = _LEVELS.sub(level, text)
+    try:
+        tree = ast.parse(" ".join(rest.replace("*", " s0 ").replace("!", "~").split()), mode="eval").body
+    except SyntaxError as e:
+        raise ValueError(f"not a selection: {text!r}") from e
+
+    def make(node: ast.expr) -> Column:
+        match node:
+            case ast.Name(id=name):
+                return found[int(name[1:]) - 1] if name != "s0" else everything()
+            case ast.UnaryOp(op=ast.Invert(), operand=inner):
+                return ~make(inner)
+            case ast.BinOp(left=a, op=ast.BitAnd(), right=b):
+                return make(a) & make(b)
+            case ast.BinOp(left=a, op=ast.BitOr(), right=b):
+                return make(a) | make(b)
+        raise ValueError(f"not a selection: {text!r}")
+
+    return make(tree)
+
+
 def chosen(default, *cases: tuple[Column, object]) -> Column:
     """Per-row parameters by selection; later cases win over earlier ones."""
     out = F.lit(default)

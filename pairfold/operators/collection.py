@@ -1,33 +1,31 @@
 """Ordered collections: prefix sums, binned sorts and folds, compaction, stable partition, ragged rows.
 
-Prefix sums and places in a global order are made in two phases: rows are range-partitioned, each
-partition is added up, and the sums of the partitions before it (one row per partition) are joined
-to it. No window ever runs over a whole table in one task. Partitions are numbered in a checkpoint,
-so that both phases see the same ones.
+Places in a global order and prefix sums are made in two phases: rows are range-partitioned and sorted
+in their partitions, where they get a running number, and are written out once, so that both phases see
+the same partitions; then the sums of the partitions before it (one row per partition) are joined to
+each. There is one shuffle of the rows, and no window ever runs over a whole table in one task.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairfold.work import stored
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's checkpoint folder; a folder of our own only if none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairfold-"))
-    return df.checkpoint()
+#: Bits of monotonically_increasing_id() that number the rows of a partition.
+_ROW_BITS = 33
 
 
 def _ordered(table: DataFrame, order: list[str | Column]) -> DataFrame:
-    """Rows with their range partition and their place in it."""
+    """Rows with their range partition and their place in it, from 1; stored."""
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    parted = checkpointed(table.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
-    return parted.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    rows = stored(table.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    return rows.select(*table.columns, F.shiftright("__id", _ROW_BITS).alias("__part"), (F.col("__id").bitwiseAND((1 << _ROW_BITS) - 1) + 1).alias("__at"))
 
 
 def _before(per_part: DataFrame, value: str) -> DataFrame:
@@ -43,12 +41,30 @@ def places(table: DataFrame, order: list[str | Column], name: str = "place") ->
     return rows.join(base, F.col("__part") == F.col("__p")).select(*table.columns, (F.col("__base") + F.col("__at") - 1).alias(name))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column becomes the sum of its values in the partition's rows before; nulls count 0."""
+    total = 0
+    for batch in batches:
+        v = np.nan_to_num(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)).astype(np.int64)
+        upto = np.cumsum(v)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total + upto - v, pa.int64())], batch.schema.names)
+        total += int(upto[-1]) if len(upto) else 0
+
+
 def scan(table: DataFrame, order: list[str | Column], count: str, name: str = "start") -> DataFrame:
     """The exclusive prefix sum of whole counts; the total is the last start and its count. 64 bits, no wrapping."""
-    rows = _ordered(table, order)
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    rows = table.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__in", F.col(count).cast("long"))
+    rows = stored(rows.mapInArrow(_running, rows.schema).withColumn("__part", F.spark_partition_id()), "scanned")
     base = _before(rows.groupBy("__part").agg(F.sum(count).alias("__n")), "__n")
-    within = F.sum(count).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__in", F.coalesce(within, F.lit(0))).join(base, F.col("__part") == F.col("__p")).select(*table.columns, (F.col("__base") + F.col("__in")).alias(name))
+    return rows.join(base, F.col("__part") == F.col("__p")).select(*table.columns, (F.col("__base") + F.col("__in")).alias(name))
+
+
+def ordered_by_group(table: DataFrame, group: str, order: list[str | Column], name: str = "at") -> DataFrame:
+    """Rows with their 0-based place inside their group; a group of any size spans many partitions."""
+    rows = places(table, [group, *order], "__place")
+    first = rows.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).select(*table.columns, (F.col("__place") - F.col("__first")).alias(name))
 
 
 def bin_starts(table: DataFrame, bin_: Column, bins: int) -> DataFrame:
@@ -58,22 +74,55 @@ def bin_starts(table: DataFrame, bin_: Column, bins: int) -> DataFrame:
     return scan(every, ["bin"], "count", "start")
 
 
-def sort_by_key(table: DataFrame, bin_: Column, bins: int, by: list[str], name: str = "place") -> tuple[DataFrame, DataFrame]:
-    """(rows with bin and place, bins with count and start): a counting sort, stable by ``by`` in each bin."""
-    starts = bin_starts(table, bin_, bins)
+def sort_by_key(table: DataFrame, bin_: Column, bins: int, by: list[str], name: str = "place") -> DataFrame:
+    """Rows with bin and place: a counting sort, stable by ``by`` in each bin; bin_starts() has the bins' starts."""
     rows = table.withColumn("bin", bin_.cast("long")).where(F.col("bin").between(0, bins - 1))
-    return places(rows, ["bin", *by], name), starts
+    return places(rows, ["bin", *by], name)
+
+
+def scatter_to_bins(table: DataFrame, bin_: Column, bins: int, item: str) -> DataFrame:
+    """(bin, item): the items of each bin, in no order; null and negative bins, and those beyond, are in none."""
+    return table.select(bin_.cast("long").alias("bin"), F.col(item).alias("item")).where(F.col("bin").between(0, bins - 1))
+
+
+def bin_span(runs: DataFrame, starts: DataFrame, from_: str = "from", to: str = "to") -> DataFrame:
+    """``runs`` with first and end: the places of the bins from ``from`` up to, not including, ``to``.
+
+    ``starts`` is bin_starts(); a run may end behind the last bin.
+    """
+    at = starts.select(F.col("bin"), F.col("start"))
+    behind = starts.select((F.col("bin") + 1).alias("__to"), (F.col("start") + F.col("count")).alias("__end"))
+    met = runs.join(at.select(F.col("bin").alias("__from"), F.col("start").alias("first")), F.col(from_) == F.col("__from"), "left").join(behind, F.col(to) == F.col("__to"), "left")
+    return met.select(*runs.columns, "first", F.when(F.col(to) <= F.col(from_), F.col("first")).otherwise(F.col("__end")).alias("end"))
+
+
+def bin_item(wanted: DataFrame, ordered: DataFrame, item: str, at: str = "at", place: str = "place") -> DataFrame:
+    """``wanted`` with the item that stands at the place ``at`` of an ordered collection; null beyond its end."""
+    return wanted.join(ordered.select(F.col(place).alias("__place"), F.col(item).alias("item")), F.col(at) == F.col("__place"), "left").drop("__place")
 
 
 def sort_bins(table: DataFrame, bin_: str, by: list[str | Column], name: str = "rank") -> DataFrame:
     """Ranks from 0 inside each bin."""
-    rows = places(table, [bin_, *by], "__place")
-    first = rows.groupBy(F.col(bin_).alias("__bin")).agg(F.min("__place").alias("__first"))
-    return rows.join(first, F.col(bin_).eqNullSafe(F.col("__bin"))).select(*table.columns, (F.col("__place") - F.col("__first")).alias(name))
+    return ordered_by_group(table, bin_, by, name)
+
+
+_SIGN = 1 << 63
+
+
+def _unsigned(fold: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A fold of whole numbers in the order of their bits: the sign bit turned over and back."""
+    turned = lambda c: c.cast("long").bitwiseXOR(F.lit(-_SIGN).cast("long"))
+    return lambda c: turned(fold(turned(c)))
+
+
+def _numbers(fold: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A fold of doubles that leaves NaN out unless there is nothing else."""
+    return lambda c: F.coalesce(fold(F.when(~F.isnan(c.cast("double")), c.cast("double"))), F.max(c.cast("double")))
 
 
 COMBINERS: dict[str, Callable[[Column], Column]] = {
     "add": F.sum, "multiply": F.product, "and": F.bit_and, "or": F.bit_or, "xor": F.bit_xor, "max": F.max, "min": F.min,
+    "max_unsigned": _unsigned(F.max), "min_unsigned": _unsigned(F.min), "max_number": _numbers(F.max), "min_number": _numbers(F.min),
 }
 
 

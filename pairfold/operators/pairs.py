@@ -24,13 +24,16 @@ Axes = list[str]
 
 
 def bin_counts(cell: Cell, width: float) -> list[int | None]:
-    """Bins per periodic axis, each at least ``width`` wide; None for an open axis."""
-    return [None if e is None else max(1, math.floor(e / width)) for e in cell.edges]
+    """Bins per periodic axis, each at least ``width`` wide between its faces; None for an open axis."""
+    return [None if e is None else max(1, math.floor(e / width)) for e in cell.widths]
 
 
 def _bins(table: DataFrame, axes: Axes, cell: Cell, width: float) -> list[Column]:
-    """The bin of a row per axis; wrapped in periodic ones."""
+    """The bin of a row per axis; wrapped in periodic ones, and along the lattice of a tilted cell."""
     out = []
+    if not cell.rectangular:
+        places = cell.fractional(tuple(F.col(a).cast("double") for a in axes))
+        return [F.pmod(F.floor(f * n), F.lit(n)).cast("long") for f, n in zip(places, bin_counts(cell, width), strict=True)]
     for a, e, n in zip(axes, cell.edges, bin_counts(cell, width), strict=True):
         b = F.floor(F.col(a) / width) if e is None else F.pmod(F.floor(F.col(a) * (n / e)), F.lit(n))
         out.append(b.cast("long"))
@@ -49,8 +52,8 @@ def range_pairs(table: DataFrame, key: str, axes: Axes, cutoff: float, cell: Cel
     rows of another; a row may be of both. ``carry`` columns come along from both rows.
     """
     cell = cell or Cell((None,) * len(axes))
-    if any(e is not None and e < 2 * cutoff for e in cell.edges):
-        raise ValueError("the nearest image needs edges of two cutoffs; use edges() for shorter ones")
+    if any(e is not None and e < 2 * cutoff for e in cell.widths):
+        raise ValueError("the nearest image needs faces two cutoffs apart; use edges() for shorter cells")
     rows = table.where(reduce(Column.__and__, [F.col(a).isNotNull() for a in axes]))
     flags = [(left if left is not None else F.lit(True)).alias("__l"), (right if right is not None else F.lit(True)).alias("__r")]
     counts = bin_counts(cell, cutoff)
@@ -101,6 +104,47 @@ def segment(f: Column, g: Column) -> Column:
     return (high * (high + 1) / 2 + low).cast("long")
 
 
+def kind_pairs(pairs: DataFrame, kinds: int, i_kind: str = "i_kind", j_kind: str = "j_kind", signed: Axes = (), sites: dict[int, int] | None = None, excluded: DataFrame | None = None, anchored: DataFrame | None = None) -> DataFrame:
+    """``pairs`` with their segment and whether it is an ordered one; i is of the greater kind.
+
+    Kinds run from 0 to ``kinds``, which is that of the rest. A segment is unordered if both kinds are one with one
+    site (``sites``, 1 if not given). Pairs of ``excluded`` (i, j in any order) go from the segment of the rest with
+    itself only. ``anchored`` has further candidates with the columns of ``pairs``; one that is there already stays one.
+    """
+    if anchored is not None:
+        known = pairs.select(F.least("i", "j").alias("__a"), F.greatest("i", "j").alias("__b"))
+        met = (F.least("i", "j") == F.col("__a")) & (F.greatest("i", "j") == F.col("__b"))
+        pairs = pairs.unionByName(anchored.join(known, met, "left_anti").select(*pairs.columns))
+    turn = F.col(j_kind) > F.col(i_kind)
+    swap = {"i": "j", "j": "i", i_kind: j_kind, j_kind: i_kind}
+    out = pairs.select(*(F.when(turn, F.col(swap[c])).otherwise(F.col(c)).alias(c) if c in swap else F.when(turn, -F.col(c)).otherwise(F.col(c)).alias(c) if c in signed else F.col(c) for c in pairs.columns))
+    several = F.coalesce(F.col(i_kind).isin([k for k, n in (sites or {}).items() if n > 1]), F.lit(False))
+    out = out.withColumn("segment", segment(F.col(i_kind), F.col(j_kind))).withColumn("ordered", (F.col(i_kind) != F.col(j_kind)) | several)
+    if excluded is not None:
+        gone = excluded.select(F.least("i", "j").alias("__a"), F.greatest("i", "j").alias("__b")).distinct()
+        last = F.col("segment") == kinds * (kinds + 1) // 2 + kinds
+        out = out.join(gone, last & (F.least("i", "j") == F.col("__a")) & (F.greatest("i", "j") == F.col("__b")), "left_anti")
+    return out
+
+
+def in_segment(found: DataFrame, entities: DataFrame, key: str, kind: str, number: int) -> DataFrame:
+    """The directed pairs or edges (i, j, ...) whose kinds make up a segment."""
+    side = lambda c: entities.select(F.col(key).alias(c), F.col(kind).alias(f"__{c}"))
+    met = found.join(side("i"), "i").join(side("j"), "j")
+    return met.where(segment(F.col("__i"), F.col("__j")) == number).select(*found.columns)
+
+
+def sum_segment_window(found: DataFrame, entities: DataFrame, key: str, kind: str, number: int, kernel: Column) -> DataFrame:
+    """(total): the kernel over a segment's pairs and images, each once; ``found`` is of edges(), which has both directions."""
+    return in_segment(found, entities, key, kind, number).agg((F.coalesce(F.sum(kernel), F.lit(0.0)) / 2).alias("total"))
+
+
+def gather_segment_window(found: DataFrame, entities: DataFrame, key: str, kind: str, number: int, kernel: Column) -> DataFrame:
+    """(key, total): per entity the kernel over its partners and their images in a segment; 0 without any."""
+    sums = in_segment(found, entities, key, kind, number).groupBy("i").agg(F.sum(kernel).alias("total"))
+    return entities.select(key).join(sums, F.col(key) == F.col("i"), "left").select(key, F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
 def triplets(pairs: DataFrame, cutoff: float | None = None, distance: str = "r") -> DataFrame:
     """(i, j, k): each center i with each two of its neighbours, j < k, both legs shorter than ``cutoff``.
 
@@ -142,41 +186,3 @@ def edges(table: DataFrame, key: str, axes: Axes, cutoff: float, cell: Cell) ->
     r2 = reduce(Column.__add__, [(F.col(a) - F.col(f"{a}s")) * (F.col(a) - F.col(f"{a}s")) for a in axes])
     own = (F.col("i") == F.col("j")) & reduce(Column.__and__, [F.col(f"s{a}") == 0 for a in axes])
     return met.withColumn("r2", r2).where((F.col("r2") < cutoff * cutoff) & ~own).select("i", "j", *(F.col(f"s{a}").cast("int").alias(f"s{a}") for a in axes), F.sqrt("r2").alias("r"))
-
-
-class PairList:
-    """A pair list kept while nobody has moved too far: built for cutoff + skin, written once, filtered at each use.
-
-    It stays valid while twice the largest displacement is no more than the skin.
-    """
-
-    def __init__(self, cutoff: float, skin: float) -> None:
-        self.cutoff, self.skin, self.builds = cutoff, skin, 0
-        self._list = self._at = None
-
-    def reset(self) -> None:
-        for kept in (self._list, self._at):
-            if kept is not None:
-                kept.unpersist()
-        self._list = self._at = None
-
-    def valid(self, table: DataFrame, key: str, axes: Axes) -> bool:
-        """One aggregate over the rows; rows that came or went invalidate the list."""
-        if self._at is None:
-            return False
-        old = self._at.select(F.col(key).alias("__old"), *(F.col(a).alias(f"__{a}") for a in axes))
-        both = table.join(old, F.col(key) == F.col("__old"), "full")
-        moved = dot(*[tuple(F.col(a) - F.col(f"__{a}") for a in axes)] * 2)
-        row = both.agg(F.max(moved).alias("far"), F.bool_or(F.col(key).isNull() | F.col("__old").isNull()).alias("other")).first()
-        return not row.other and 2 * math.sqrt(row.far or 0.0) <= self.skin
-
-    def pairs(self, table: DataFrame, key: str, axes: Axes) -> DataFrame:
-        if not self.valid(table, key, axes):
-            self.reset()
-            self._at = table.select(key, *axes).persist()
-            self._list = range_pairs(self._at, key, axes, self.cutoff + self.skin).select("i", "j").persist()
-            self.builds += 1
-        now = lambda side: table.select(F.col(key).alias(side), *(F.col(a).alias(f"{side}{a}") for a in axes))
-        met = self._list.join(now("i"), "i").join(now("j"), "j")
-        d = tuple(F.col(f"i{a}") - F.col(f"j{a}") for a in axes)
-        return met.withColumn("r", F.sqrt(dot(d, d))).where(F.col("r") < self.cutoff).select("i", "j", "r")

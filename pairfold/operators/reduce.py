@@ -34,7 +34,8 @@ def lookup(table: DataFrame, dimension: DataFrame, on: list[str], symmetric: boo
     """
     if symmetric:
         a, b = on
-        other = dimension.where(F.col(a) != F.col(b)).withColumnsRenamed({a: b, b: a})
+        turned = {a: b, b: a}
+        other = dimension.where(F.col(a) != F.col(b)).select(*(F.col(turned.get(c, c)).alias(c) for c in dimension.columns))
         dimension = dimension.unionByName(other.join(dimension.select(a, b), [a, b], "left_anti"))
     return table.join(dimension, on, "left")
 

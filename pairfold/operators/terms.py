@@ -6,11 +6,15 @@ it per entity, with pairfold.operators.reduce. Positions are x, y, z of a table
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairfold.functions.expressions import Expression
 from pairfold.functions.geometry import Cell, angle, dihedral, minus, norm, truncated, wrapped_angle
-from pairfold.operators.reduce import members
+from pairfold.functions.scalars import spline_grid
+from pairfold.operators.reduce import gather_pairs, members
 
 XYZ = ["x", "y", "z"]
 
@@ -76,3 +80,89 @@ def restraint(table: DataFrame, reference: DataFrame, key: str = "pid") -> DataF
 def external(table: DataFrame, field: Column, mask: Column | None = None) -> DataFrame:
     """Any field of a row's columns, over the rows of a selection."""
     return (table if mask is None else table.where(mask)).withColumn("u", field)
+
+
+def correction_map(table: DataFrame, maps: DataFrame, values: list[list[float]], key: str = "pid") -> DataFrame:
+    """A bicubic surface over two torsions of maps (i, j, k, l, m): phi of i, j, k, l and psi of j, k, l, m.
+
+    ``values`` are the surface's at equal steps of both angles over a turn, from -pi on; it is periodic in both.
+    """
+    t = _with(table, maps, ["i", "j", "k", "l", "m"], key)
+    t = t.withColumn("phi", dihedral(_at("i"), _at("j"), _at("k"), _at("l"))).withColumn("psi", dihedral(_at("j"), _at("k"), _at("l"), _at("m")))
+    closed = [[*row, row[0]] for row in [*values, values[0]]]
+    return t.withColumn("u", spline_grid([F.col("phi"), F.col("psi")], [(-math.pi, math.pi)] * 2, closed, periodic=True))
+
+
+def close_pairs(table: DataFrame, pairs: DataFrame, key: str = "pid", charge: str = "q", cutoff: float = float("inf"), kind: str = "none", start: float | None = None, constant: float = 138.935456) -> DataFrame:
+    """The scaled energy of pairs three bonds apart (i, j, sigma, epsilon, scale): 4 epsilon (..) and scale times the charges' one.
+
+    The factor of the first part is in epsilon already.
+    """
+    t = members(table, pairs, ["i", "j"], key, [*XYZ, charge]).withColumn("r", norm(minus(_at("i"), _at("j"))))
+    t = lennard_jones(t, F.col("sigma"), F.col("epsilon"), cutoff, kind, start)
+    return t.withColumn("u", F.col("u") + constant * F.col("scale") * F.col(f"i_{charge}") * F.col(f"j_{charge}") / F.col("r"))
+
+
+def pull(table: DataFrame, group: str, tuples: DataFrame, energy: Column, mass: str = "m", cell: Cell | None = None) -> DataFrame:
+    """Energies of the centers of groups: tuples (a, b) with dx, dy, dz, r, or (a, b, c) with theta, and u, their energy.
+
+    Centers are weighted by mass; a group of any size is one row of partial sums.
+    """
+    places = [c for c in ("a", "b", "c") if c in tuples.columns]
+    center = table.groupBy(F.col(group).alias("__g")).agg(*((F.sum(F.col(mass) * F.col(x)) / F.sum(mass)).alias(x) for x in XYZ))
+    t = members(center, tuples, places, "__g", XYZ)
+    if len(places) == 3:
+        return t.withColumn("theta", angle(_at("a"), _at("b"), _at("c"))).withColumn("u", energy)
+    d = minus(_at("b"), _at("a"))
+    d = cell.image(d) if cell else d
+    return t.withColumns({f"d{x}": c for x, c in zip(XYZ, d, strict=True)}).withColumn("r", norm(tuple(F.col(f"d{x}") for x in XYZ))).withColumn("u", energy)
+
+
+#: Shape of the smoothed radii: alpha, beta, gamma of the two published sets.
+BORN_SHAPES = {"obc1": (0.8, 0.0, 2.909125), "obc2": (1.0, 0.8, 4.85)}
+
+
+def born_radii(entities: DataFrame, key: str, pairs: DataFrame, radius: str = "rho", scale: str = "scaled", shape: str | None = None, own: str | None = None) -> DataFrame:
+    """(key, born): effective radii from sums over the pairs (i, j, r) of what each partner screens of an entity.
+
+    ``radius`` is an entity's reduced radius, ``scale`` its scaled one. Without ``shape`` the radius is that of the
+    plain sum; with one the sum goes through a hyperbolic tangent and needs the intrinsic radius ``own``.
+    """
+    side = lambda c: entities.select(F.col(key).alias(c), F.col(radius).alias(f"{c}_{radius}"), F.col(scale).alias(f"{c}_{scale}"))
+    met = pairs.select("i", "j", "r").join(side("i"), "i").join(side("j"), "j")
+    r, ri, sj = F.col("r"), F.col(f"i_{radius}"), F.col(f"j_{scale}")
+    low, high = F.greatest(ri, F.abs(r - sj)), r + sj
+    integral = 1 / low - 1 / high + r / 4 * (1 / (high * high) - 1 / (low * low)) + F.log(low / high) / (2 * r) + sj * sj / (4 * r) * (1 / (low * low) - 1 / (high * high))
+    integral = F.when(low < high, integral + F.when(ri < sj - r, 2 * (1 / ri - 1 / low)).otherwise(0.0)).otherwise(0.0)
+    sums = gather_pairs(entities, key, met, screened=integral)
+    out = entities.join(sums.withColumnRenamed(key, "__k"), F.col(key) == F.col("__k"))
+    half = F.col("screened") / 2
+    if shape is None:
+        return out.select(key, (1 / (1 / F.col(radius) - half)).alias("born"))
+    a, b, c = BORN_SHAPES[shape]
+    psi = half * F.col(radius)
+    return out.select(key, (1 / (1 / F.col(radius) - F.tanh(a * psi - b * psi * psi + c * psi * psi * psi) / F.col(own))).alias("born"))
+
+
+def generalized_born(entities: DataFrame, key: str, pairs: DataFrame, radii: DataFrame, charge: str = "q", inside: float = 1.0, outside: float = 78.5, constant: float = 138.935456) -> DataFrame:
+    """(own, pairs): the energies of charges in a solvent, each one's own and that of the pairs (i, j, r)."""
+    factor = -constant * (1 / inside - 1 / outside)
+    held = entities.join(radii.withColumnRenamed(key, "__k"), F.col(key) == F.col("__k")).select(F.col(key), F.col(charge), "born")
+    own = held.agg(F.sum(F.lit(factor / 2) * F.col(charge) * F.col(charge) / F.col("born")).alias("own"))
+    side = lambda c: held.select(F.col(key).alias(c), F.col(charge).alias(f"{c}_q"), F.col("born").alias(f"{c}_b"))
+    met = pairs.select("i", "j", "r").join(side("i"), "i").join(side("j"), "j")
+    product = F.col("i_b") * F.col("j_b")
+    f = F.sqrt(F.col("r") * F.col("r") + product * F.exp(-F.col("r") * F.col("r") / (4 * product)))
+    between = met.agg(F.coalesce(F.sum(F.lit(factor) * F.col("i_q") * F.col("j_q") / f), F.lit(0.0)).alias("pairs"))
+    return own.select("own", F.lit(0.0).alias("pairs")).unionByName(between.select(F.lit(0.0).alias("own"), "pairs")).agg(F.sum("own").alias("own"), F.sum("pairs").alias("pairs"))
+
+
+def alchemical(rows: DataFrame, potential: str, components: list[str], states: list[dict[str, float]], own: int, by: str | None = None, aggregate=F.sum) -> DataFrame:
+    """([by], dh_<component>..., du_<state>...): derivatives by each component at the run's state, and U(state) - U(own).
+
+    ``potential`` is an expression of a row's columns and the components; all states come from one pass over the rows.
+    """
+    e = Expression.parse(potential)
+    at_own = e.column(states[own])
+    sums = {f"dh_{c}": e.derivative(c).column(states[own]) for c in components} | {f"du_{k}": e.column(s) - at_own for k, s in enumerate(states)}
+    return (rows if by is None else rows.groupBy(by)).agg(*(aggregate(c).alias(n) for n, c in sums.items()))
