@@ -6,40 +6,15 @@ units of the sixth decimal, so that they do not depend on the order of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfold.functions import masks, scalars
 from pairfold.functions.geometry import Cell
 from pairfold.functions.scalars import exact_sum
 from pairfold.operators import collection, domains, grid, pairs, reduce, series, steps, terms
+from pairfold.plans.registry import ORACLES, QUERIES, fx, query, table
 from pairfold.streaming import refresh, windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def fx(x: str) -> str:
-    """exact_sum in SQL."""
-    return f"(sum(cast(floor(({x})*1e6+0.5) as bigint))::bigint/1e6)"
-
-
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINES = ", ".join(LINE)
 
@@ -112,9 +87,13 @@ def range_pairs_periodic(spark, d):
 
 @query(f"WITH p AS ({_pairs}) SELECT i, j FROM p WHERE ui <> uj")
 def pairs_excluding(spark, d):
-    events = table(spark, d, "events")
-    mine = lambda c: events.select("user_id", F.col("event_id").alias(c))
-    return pairs.excluding(_value_pairs(spark, d), mine("i").join(mine("j"), "user_id").where("i < j")).select("i", "j")
+    return _value_pairs(spark, d, carry=["user_id"]).where("i_user_id <> j_user_id").select("i", "j")
+
+
+@query(f"WITH p AS ({_pairs}) SELECT i, j FROM p WHERE j <> i + 1")
+def pairs_without_listed(spark, d):
+    listed = table(spark, d, "events").select((F.col("event_id") + 1).alias("i"), F.col("event_id").alias("j"))
+    return pairs.excluding(_value_pairs(spark, d), listed).select("i", "j")
 
 
 @query(f"WITH p AS ({_pairs}) SELECT i, j FROM p WHERE (ti = 'click' AND tj = 'purchase') OR (ti = 'purchase' AND tj = 'click')")
@@ -220,8 +199,7 @@ def scan_exclusive(spark, d):
 
 @query(f"SELECT {LINES}, l_suppkey AS bin, row_number() OVER (ORDER BY l_suppkey, {LINES}) - 1 AS place FROM lineitem")
 def sort_by_key_bins(spark, d):
-    rows, _ = collection.sort_by_key(table(spark, d, "lineitem"), F.col("l_suppkey"), 10_000, LINE)
-    return rows.select(*LINE, "bin", "place")
+    return collection.sort_by_key(table(spark, d, "lineitem"), F.col("l_suppkey"), 10_000, LINE).select(*LINE, "bin", "place")
 
 
 @query("""WITH c AS (SELECT b AS bin, coalesce(n, 0) AS count FROM range(10000) t(b) LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON b = l_suppkey)
@@ -434,13 +412,36 @@ def ti_trapezoid(spark, d):
     return series.thermodynamic_integration(t, "y", {"price": "l1", "key": "l2"}, {"price": "o_totalprice", "key": "k"}).select("component", F.round("dg", 4).alias("dg"))
 
 
-@query()
+_kinds = ["click", "error", "purchase", "signup", "view"]
+_scales = (40.0, 45.0, 50.0, 55.0, 60.0)
+
+
+def _mbar_sql(states: dict[str, int], scales: tuple[float, ...]) -> str:
+    """The self-consistent equations as a recursion of 60 rounds."""
+    k = range(len(scales))
+    mixture = "ln(" + " + ".join(f"n{j} * exp(f{j} - value / {scales[j]!r}::DOUBLE)" for j in k) + ")"
+    counts = ", ".join(f"count(*) FILTER (event_type IN ({', '.join(repr(s) for s, of in states.items() if of == j)})) AS n{j}" for j in k)
+    step = ", ".join(f"-ln(sum(exp(-value / {x!r}::DOUBLE - {mixture}))) + ln(sum(exp(-value / {scales[0]!r}::DOUBLE - {mixture})))" for x in scales)
+    return f"""WITH RECURSIVE n AS (SELECT {counts} FROM events),
+it AS (SELECT 0 AS round, {', '.join(f"0.0::DOUBLE AS f{j}" for j in k)} UNION ALL SELECT round + 1, {step} FROM it, n, events WHERE round < 60 GROUP BY round)
+SELECT state::INTEGER AS state, round(f, 6) + 0.0::DOUBLE AS f FROM (SELECT unnest({list(k)}) AS state, unnest([{', '.join(f"f{j}" for j in k)}]) AS f FROM it WHERE round = 60)"""
+
+
+def _mbar(spark, d, states: dict[str, int], scales: tuple[float, ...]):
+    of = F.element_at(F.create_map(*[F.lit(x) for item in states.items() for x in item]), F.col("event_type"))
+    t = table(spark, d, "events").select(of.alias("state"), *((F.col("value") / F.lit(x)).alias(f"u{i}") for i, x in enumerate(scales)))
+    got = series.mbar(t, [f"u{i}" for i in range(len(scales))])
+    return spark.createDataFrame([(i, round(x, 6) + 0.0) for i, x in enumerate(got.free_energies)], "state int, f double")
+
+
+@query(_mbar_sql({k: i for i, k in enumerate(_kinds)}, _scales))
+def mbar_states(spark, d):
+    return _mbar(spark, d, {k: i for i, k in enumerate(_kinds)}, _scales)
+
+
+@query(_mbar_sql({k: i % 3 for i, k in enumerate(_kinds)}, (40.0, 50.0, 60.0)))
 def mbar_three_states(spark, d):
-    kinds = ["click", "purchase", "view"]
-    t = table(spark, d, "events").where(F.col("event_type").isin(*kinds))
-    t = t.select((F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1).alias("state"), *((F.col("value") / F.lit(s)).alias(f"u{i}") for i, s in enumerate((40.0, 50.0, 60.0))))
-    f, overlap = series.mbar(t, ["u0", "u1", "u2"])
-    return spark.createDataFrame([(i, x, *o) for i, (x, o) in enumerate(zip(f, overlap, strict=True))], "state int, f double, o0 double, o1 double, o2 double")
+    return _mbar(spark, d, {k: i % 3 for i, k in enumerate(_kinds)}, (40.0, 50.0, 60.0))
 
 
 @query("""WITH r AS (SELECT event_type, 1 - exp(-value / 50.0::DOUBLE) AS f, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
@@ -501,7 +502,10 @@ def day_windows(spark, d):
     return windows.by_time(table(spark, d, "events"), "ts", "1 day", "event_type").agg(F.count("*").alias("n"), exact_sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+w AS (SELECT user_id, ts, event_id, value, k, value AS reference, true AS far FROM r WHERE k = 1 UNION ALL
+SELECT r.user_id, r.ts, r.event_id, r.value, r.k, CASE WHEN abs(r.value - w.reference) > 40 THEN r.value ELSE w.reference END, abs(r.value - w.reference) > 40 FROM w JOIN r ON r.user_id IS NOT DISTINCT FROM w.user_id AND r.k = w.k + 1)
+SELECT user_id, ts, event_id, value FROM w WHERE far""")
 def stateful_refresh(spark, d):
     return refresh.crossings(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 40.0)
 
@@ -531,3 +535,9 @@ def lj_pair_energy(spark, d):
     p = _value_pairs(spark, d).withColumn("r", F.col("r") + F.lit(0.01))
     u = terms.lennard_jones(p, F.lit(0.02), F.lit(1.0), 0.065, "switch", 0.04)
     return u.agg(F.count("*").alias("n"), F.round(F.sum("u") / 1000, 6).alias("total"))
+
+
+# The other modules of the catalog add their queries where they are imported.
+from pairfold.plans import algebra, analytics, records  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "algebra", "analytics", "records"]

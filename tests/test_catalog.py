@@ -39,9 +39,8 @@ def test_query_equals_its_sql(spark, duck, name):
     assert a.equals(b), a[(a != b).any(axis=1)].head()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_has_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_query(spark):
