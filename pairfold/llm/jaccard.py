@@ -8,9 +8,10 @@ has no partner. Equal sets are one set from there on.
 The others put the rarest shingles of their order into an inverted index, as many as any partner
 must meet. The lists of the index are worked off by the relations among their sets:
 
-* Index level. An entry knows its position in its set and the set's size. What a position leaves
-  to share bounds the overlap; pairs of entries, and whole lists whose sets are in one component
-  already, are skipped by it. Short lists are compared pair by pair.
+* Index level. An entry knows its position in its set and the set's size; lists are cut into blocks
+  of similar sizes. What a position leaves to share bounds the sizes that a partner may have, so that an
+  entry meets only the blocks that its position allows and all others are skipped whole, as are lists
+  whose sets are in one component already. Short lists are compared pair by pair in their blocks.
 * Answer level. A long list is compared to its most central set first, the pivot. Its other sets'
   answers follow from the pivot's: two sets close to it are linked through it and need no comparison
   in a search for components; two whose distances to it differ by more than the threshold are no
@@ -31,13 +32,14 @@ empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairfold.llm.chunks import blobs, combined, map_rows, mix, ranges_for, results_of, send, with_results
-from pairfold.llm.common import stored, text_bytes
+from pairfold.llm.common import join_skewed, stored, text_bytes
 from pairfold.llm.graph import components
 from pairfold.llm.words import word_chunks, words_and_tokens
 
@@ -140,14 +142,38 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
 
 
+def _block(n, percent: int):
+    """The block of a list that sets of n shingles stand in: sizes that grow by the ratio of two that may link."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+
+
+def _meeting(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries with each block that their size and position let them meet; of some, none."""
+    n, left = F.col("n"), F.col("n") - F.col("pos")
+    low = F.ceil(n * percent / 100)
+    high = F.least(F.floor(n * 100 / percent), F.floor(left * (100 + percent) / percent) - n)
+    met = entries.where(high >= low)
+    return met.withColumn("block", F.explode(F.sequence(_block(low, percent), _block(high, percent))))
+
+
+#: Cells of the distances from a pivot, which are from 0 to 1.
+CELLS = 60
+
+
 def _parted(rooted: DataFrame, percent: int) -> DataFrame:
-    """Lists in parts: components in the order of their distances from the list's pivot, parted by the gaps."""
-    low, high = F.min(F.coalesce("d", F.lit(0.0))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high")
-    groups = rooted.groupBy("s", "part", "root").agg(low, high)
-    along = Window.partitionBy("s", "part").orderBy("low", "high", "root")
-    gap = F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) + (100 - percent) / 100 + 1e-9
-    cuts = groups.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("cut", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return rooted.join(cuts.select("s", "part", "root", "cut"), ["s", "part", "root"]).withColumn("part", F.xxhash64("part", "cut")).drop("cut")
+    """Lists in parts: components with their distances from the list's pivot, parted where these leave a gap.
+
+    The distances that a component covers are bits of a number, and those of a list are added up bit by bit; a run
+    of empty cells wider than the threshold parts it. A gap that the cells do not show parts nothing.
+    """
+    need = CELLS * (100 - percent) // 100 + 1
+    low, high = F.floor(F.min(F.coalesce("d", F.lit(0.0))) * CELLS), F.floor(F.max(F.coalesce("d", F.lit(1.0))) * CELLS)
+    groups = rooted.groupBy("s", "part", "root").agg(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    groups = groups.withColumn("covered", F.expr("shiftleft(1L, high + 1) - shiftleft(1L, low)"))
+    lists = groups.groupBy("s", "part").agg(F.bit_or("covered").alias("mask"))
+    cut = F.expr(f"size(filter(sequence({need}, {CELLS}), p -> p <= low AND (shiftright(mask, p) & 1) = 1 AND (shiftright(mask, p - {need}) & {(1 << need) - 1}L) = 0))")
+    cuts = groups.join(lists, ["s", "part"]).select("s", "part", "root", cut.alias("cut"))
+    return rooted.join(cuts, ["s", "part", "root"]).withColumn("part", F.xxhash64("part", "cut")).drop("cut")
 
 
 def linked_components(sets: DataFrame, percent: int) -> DataFrame | None:
@@ -181,11 +207,12 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame | None:
             chosen |= (F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("name", "s"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
         active = stored(rooted.join(lists, ["s", "part"]).withColumn("chosen", chosen).drop("most", "share"), "jaccard-active")
         short, long = active.where("short"), active.where("NOT short")
-        where = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part"))
+        where = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.block") == F.col("y.block"))
         x, y = F.col("x.name"), F.col("y.name")
-        pairs = short.alias("x").join(short.alias("y"), where & (x < y)).where(_possible(percent)).select(x.alias("a"), y.alias("b"))
+        in_blocks = lambda e: e.withColumn("block", _block(F.col("n"), percent))
+        pairs = _meeting(short, percent).alias("x").join(in_blocks(short).alias("y"), where & (x < y)).where(_possible(percent)).select(x.alias("a"), y.alias("b"))
         ends = (x.alias("a"), y.alias("b")) if turn == 0 else (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        starred = long.alias("x").join(long.where("chosen").alias("y"), where & (x != y)).where(_possible(percent)).select(*ends)
+        starred = in_blocks(long).alias("x").join(_meeting(long.where("chosen"), percent).alias("y"), where & (x != y)).where(_possible(percent)).select(*ends)
         # A pair may stand in a short list in one order and in a long one in the other; both are right.
         found = stored(_compared(pairs.unionByName(starred).distinct(), sets), "jaccard-compared")
         new = found.where(_linked("o", "na", "nb", percent)).select("a", "b")
@@ -203,18 +230,17 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame | None:
 def similar(docs: DataFrame, percent: int = 75, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; the id is the least key of the component."""
     every = shingle_sets(docs, percent, shingle, key, text)
-    own = every.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("least"))
+    own = every.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("least"), F.count("*").alias("rows"))
     sets = stored(every.where("shared IS NOT NULL").select("name", "n", "shared", "central").dropDuplicates(["name"]), "jaccard-distinct")
     roots = linked_components(sets, percent)
     if roots is not None:
-        roots = roots.withColumnRenamed("vertex", "name")
-        whole = own.join(roots, "name").groupBy("root").agg(F.min("least").alias("id"))
-        larger = roots.join(whole, "root").select("name", "id")
-        own = own.join(larger, "name", "left").select("name", F.coalesce("id", "least").alias("least"))
-    ids = own.select(F.col("name").alias("of"), F.col("least").alias("id"))
-    return every.join(ids, F.col("name") == F.col("of"), "left").select(
-        F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("id")).alias("component_id")
-    )
+        roots = stored(roots.withColumnRenamed("vertex", "name").select("name", "root"), "jaccard-roots")
+        whole = own.join(roots, "name").groupBy("root").agg(F.min("least").alias("id"), F.count("*").alias("sets"))
+        larger = join_skewed(roots, whole, "root", "sets").select("name", "id")
+        own = own.join(larger, "name", "left").select("name", F.coalesce("id", "least").alias("least"), "rows")
+    # Copies, however many, share a name.
+    got = join_skewed(every.select("key", "n", "name"), own.select("name", F.col("least").alias("id"), "rows"), "name", "rows")
+    return got.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
