@@ -47,11 +47,30 @@ SENTENCES = {
     "no-endorsement": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "apache2-may-not": ["you may not use this file except in compliance with the License."],
     "apache2-copy": ["You may obtain a copy of the License at"],
+    "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "no-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "bsd-as-is": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "bsd-no-liability": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "isc-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "apache2-unless": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache2-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-see": ["See the GNU General Public License for more details."],
+    "gpl-copy": ["You should have received a copy of the GNU General Public License along with this program."],
+    "gpl2-free-software": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "lgpl21-free-software": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-free-software": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-free-software": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-short": ["Distributed under the Boost Software License, Version 1.0."],
     "gpl-free-software": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
 }
 
 #: Further wordings of the sentences above, as the licences' own headers have them.
 WORDINGS = {
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "apache2-short": ["Licensed under the Apache License, Version 2.0 (the \"License\");"],
     "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
 }
@@ -63,6 +82,12 @@ RULES = [
     ("BSD-2-Clause", ["redistribution", "source-form", "binary-form"]),
     ("Apache-2.0", ["apache2-short", "apache2-may-not", "apache2-copy"]),
     ("GPL-3.0-or-later", ["gpl-free-software"]),
+    ("GPL-2.0-or-later", ["gpl2-free-software"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free-software"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free-software"]),
+    ("AGPL-3.0-or-later", ["agpl3-free-software"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
     ("ISC", ["isc-grant"]),
     ("AGPL-3.0", ["agpl3-short"]),
     ("GPL-3.0", ["gpl3-short"]),
@@ -74,6 +99,7 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-4"]),
     ("MPL-2.0", ["mpl2-short"]),
     ("Apache-2.0", ["apache2-short"]),
+    ("BSL-1.0", ["boost-short"]),
     ("MIT", ["mit-short"]),
     ("Unlicense", ["unlicense"]),
     ("CC0-1.0", ["cc0"]),
@@ -86,7 +112,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = [
     (r"\r\n?", "\n"),
     (r"\n[^a-z0-9\n]*(?:(?:rem|dnl)[ \t]*)?(?=\n)", "P"),
-    (r"\n[^a-z0-9\n]*(?:(?:rem|dnl|[a-z0-9]{1,2}\))[ \t]+[^a-z0-9\n]*)?", "L"),
+    (r"\n[^a-z0-9P\n]*(?:(?:rem|dnl|[a-z0-9]{1,2}\))[ \t]+[^a-z0-9P\n]*)?", "L"),
     (r"[.;:!?][ \tL]+", "S"),
     (r"[^a-z0-9LPS]+", " "),
 ]

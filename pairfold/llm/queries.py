@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,22 +83,35 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_oracle() -> str:
+    """The scan line by line: a line is blank or sheds its comment signs, sentences are looked for between the marks that this leaves.
+
+    Marks stand twice, as DuckDB's expressions cannot look ahead: one ends a sentence, the other begins the next one.
+    """
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = licences.known_sentences()
+    known, patterns = {}, []
+    for text, name in licences.all_sentences().items():
+        parts = re.findall(r"([a-z0-9]+)([^a-z0-9]*)", text.lower())
+        known[" ".join(w for w, _ in parts)] = name
+        gaps = ["[ LS]+" if re.search(r"[.;:!?]\s", gap) else "[ L]+" for _, gap in parts[:-1]]
+        patterns.append("".join(w + g for (w, _), g in zip(parts, [*gaps, ""])))
+    patterns.sort(key=lambda p: (-p.count("]+"), p))
     pairs = ", ".join(f"({quoted(s)}, {quoted(n)})" for s, n in known.items())
     rules = ", ".join(f"({k}, {quoted(name)}, {quoted(',' + ','.join(run) + ',')})" for k, (name, run) in enumerate(licences.RULES))
+    blank, signs = r"[^a-z0-9]*((rem|dnl)[ \t]*)?", r"^[^a-z0-9]*((rem|dnl|[a-z0-9]{1,2}\))[ \t]+[^a-z0-9]*)?"
     return f"""
 WITH known(sentence, name) AS (VALUES {pairs}),
 rules(k, licence, run) AS (VALUES {rules}),
-s AS (
-  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '([.;:!?])[ \t\r\n]+', E'\\1\n', 'g'), E'\n') AS cut FROM documents),
-e AS (SELECT doc_id, unnest(cut) AS sentence, generate_subscripts(cut, 1) AS place FROM s),
-n AS (SELECT doc_id, place, name FROM (SELECT doc_id, place, trim(regexp_replace(sentence, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM e) JOIN known USING (sentence)),
+l AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), E'\r\n?', E'\n', 'g'), E'\n') AS lines FROM documents),
+m AS (SELECT doc_id, list_aggregate(list_transform(lines, lambda x: CASE WHEN regexp_full_match(x, '{blank}') THEN 'P' ELSE 'L' || regexp_replace(x, '{signs}', '') END), 'string_agg', '') || 'L' AS marked FROM l),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(marked, '[.;:!?][ \tL]+', 'S', 'g'), '[^a-z0-9LPS]+', ' ', 'g'), '([LPS])', '\\1\\1', 'g') AS marked FROM m),
+c AS (SELECT doc_id, list_transform(regexp_extract_all(marked, '[LPS] ?({"|".join(patterns)}) ?[LPS]', 1), lambda x: regexp_replace(x, '[ LS]+', ' ', 'g')) AS cut FROM t),
+e AS (SELECT doc_id, unnest(cut) AS sentence, generate_subscripts(cut, 1) AS place FROM c),
+n AS (SELECT doc_id, place, name FROM e JOIN known USING (sentence)),
 i AS (SELECT doc_id, count(*) AS n_sentences, string_agg(name, ',' ORDER BY place) AS ids FROM n GROUP BY doc_id),
-m AS (SELECT doc_id, licence, min(k) AS k FROM i JOIN rules ON contains(',' || ids || ',', run) GROUP BY ALL),
-l AS (SELECT doc_id, arg_min(licence, k) AS licence, string_agg(licence, ',' ORDER BY k) AS licences FROM m GROUP BY doc_id)
+r AS (SELECT doc_id, licence, min(k) AS k FROM i JOIN rules ON contains(',' || ids || ',', run) GROUP BY ALL),
+o AS (SELECT doc_id, arg_min(licence, k) AS licence, string_agg(licence, ',' ORDER BY k) AS licences FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, licence, coalesce(licences, '') AS licences
-FROM documents LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)
+FROM documents LEFT JOIN i USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 
