@@ -42,24 +42,38 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as their range needs."""
+    """Whole numbers in few bytes each; those that need more than most others are held apart, with their places."""
     if not len(values):
         return b""
     values = values.astype(np.int64)
     low = int(values.min())
     rest = (values - low).astype(np.uint64)
-    width = max(1, (int(rest.max()).bit_length() + 7) // 8)
-    return low.to_bytes(8, "little", signed=True) + bytes([width]) + rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width, apart = max(1, (int(rest.max()).bit_length() + 7) // 8), np.zeros(0, dtype=np.uint32)
+    while width > 1:
+        over = np.flatnonzero(rest >= np.uint64(1 << (8 * width - 8))).astype(np.uint32)
+        if 12 * len(over) >= len(rest) + 12 * len(apart):
+            break
+        width, apart = width - 1, over
+    head = low.to_bytes(8, "little", signed=True) + bytes([width | (0x80 if len(apart) else 0)])
+    if len(apart):
+        head += len(apart).to_bytes(4, "little") + apart.tobytes() + rest[apart].tobytes()
+    return head + rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, dtype=np.int64)
-    width = data[8]
-    body = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
+    width, at = data[8] & 0x7F, 9
+    if data[8] & 0x80:
+        n = int.from_bytes(data[9:13], "little")
+        apart, whole, at = np.frombuffer(data, dtype=np.uint32, count=n, offset=13), np.frombuffer(data, dtype=np.uint64, count=n, offset=13 + 4 * n), 13 + 12 * n
+    body = np.frombuffer(data, dtype=np.uint8, offset=at).reshape(-1, width)
     wide = np.zeros((len(body), 8), dtype=np.uint8)
     wide[:, :width] = body
-    return wide.view(np.uint64).ravel().astype(np.int64) + int.from_bytes(data[:8], "little", signed=True)
+    out = wide.view(np.uint64).ravel()
+    if data[8] & 0x80:
+        out[apart] = whole
+    return out.astype(np.int64) + int.from_bytes(data[:8], "little", signed=True)
 
 
 def pack_names(names: np.ndarray) -> bytes:

@@ -8,7 +8,7 @@ with h_n the last n-1 words, and the bucket of h by the count of the longest con
 two. The weights are learned by expectation-maximisation on held-out counts: every training text is
 held out in turn, its tokens being predicted from the counts with the text's own ones deleted. What
 these predictions look like is gathered over all training tokens in a table of (bucket, the orders'
-estimates in steps of an eighth of an octave, down to 2^-50). Each step of the EM is one aggregate over
+estimates in steps of a quarter of an octave, down to 2^-50). Each step of the EM is one aggregate over
 that table, which stays in Spark; a number per bucket and order comes to the driver.
 
 Counts are exact and cover all training texts. They are added up and brought back by the exchange
@@ -30,7 +30,7 @@ from pairfold.llm.common import stored, text_bytes
 from pairfold.llm.words import word_chunks, words_and_tokens
 
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x0BE6190BE6190BE6)
-STEPS, FLOOR = 8, 400  # steps an octave; the estimates' least exponent is -FLOOR / STEPS
+STEPS, FLOOR = 4, 200  # steps an octave; the estimates' least exponent is -FLOOR / STEPS
 BUCKETS = 64
 
 
