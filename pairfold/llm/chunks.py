@@ -160,9 +160,11 @@ def send(chunks: DataFrame, emit: Callable[[dict], list[tuple]], n_values: int)
     return chunks.mapInArrow(run, f"part int, chunk long, level int, names binary{''.join(f', v{k} binary' for k in range(n_values))}")
 
 
-def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray], n_values: int, label: str, ranges: int, summary: Callable[[int, np.ndarray], int] | None = None) -> DataFrame:
+def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray], n_values: int, label: str, ranges: int, summary: Callable[[int, np.ndarray], int] | None = None, others: bool = False) -> DataFrame:
     """(chunk, part, level, result): the results for the names of each blob, in its order; stored.
 
+    ``others``: a chunk gets a result less its own first value, which it knows; for most rare names that is 0.
+
     ``combine(level, starts, values)`` gets the values sorted by name, with the start of each name's
     run, and returns one whole number per name. ``summary`` makes one number of a range's
     results; it is returned in a row of chunk -1.
@@ -181,7 +183,7 @@ def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarra
             back = np.empty(len(order), dtype=np.int64)
             back[order] = np.cumsum(new) - 1
             for chunk, part, a, b in zip(rows.chunk, rows.part, np.r_[0, ends[:-1]], ends, strict=True):
-                out.append((chunk, part, level, pack_ints(result[back[a:b]])))
+                out.append((chunk, part, level, pack_ints(result[back[a:b]] - values[0][a:b] if others else result[back[a:b]])))
             if summary is not None:
                 out.append((-1, rows.part.iloc[0], level, pack_ints(np.array([summary(int(level), result)]))))
         return pd.DataFrame(out, columns=["chunk", "part", "level", "result"])

@@ -64,6 +64,10 @@ class Tokens:
         out[self.first] = at_begin
         return out
 
+    def counts(self, level: int) -> np.ndarray:
+        """How often each n-gram stands in the chunk's training texts."""
+        return np.bincount(self.place[level], self.train, len(self.names[level])).astype(np.int64)
+
     def own(self, level: int) -> np.ndarray:
         """How often a token's n-gram stands in its own text."""
         place = self.place[level]
@@ -88,7 +92,7 @@ def _estimates(tokens: Tokens, rows: list[dict], total: int, texts: int, deleted
     counts, contexts = [], []
     sizes = np.bincount(tokens.doc) if len(tokens.doc) else np.zeros(0, dtype=np.int64)
     for level in range(len(tokens.names)):
-        found = results_of(rows, level + 1)[tokens.place[level]]
+        found = (results_of(rows, level + 1) + tokens.counts(level))[tokens.place[level]]
         if level == 0:
             context = np.full(len(found), total) - (sizes[tokens.doc] if deleted else 0)
         else:
@@ -143,12 +147,11 @@ def score(docs: DataFrame, train: Column, order: int = 3, em_steps: int = 60, ke
     def emit(row: dict) -> list[tuple]:
         tokens = Tokens(row, order)
         out = []
-        for level, (names, place) in enumerate(zip(tokens.names, tokens.place, strict=True), 1):
-            n = np.bincount(place, tokens.train, len(names)).astype(np.int64)
-            out += blobs(row["chunk"], level, names, [n], ranges)
+        for level, names in enumerate(tokens.names):
+            out += blobs(row["chunk"], level + 1, names, [tokens.counts(level)], ranges)
         return out
 
-    sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()))
+    sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()), others=True)
     distinct = total_of(sums, 1)
     size = table.select(F.explode(F.arrays_zip("train", "n_words")).alias("d")).where("d.train").agg(F.sum(F.col("d.n_words") + 1), F.count("*")).first()
     total, texts = int(size[0] or 0), int(size[1])
