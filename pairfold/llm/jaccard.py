@@ -99,7 +99,7 @@ def shingle_sets(docs: DataFrame, percent: int, shingle: int, key: str, text: st
         s = Shingles(row, shingle)
         return blobs(row["chunk"], 1, s.distinct, [s.count], ranges)
 
-    counts = combined(send(table, emit, 1), lambda level, starts, v: np.add.reduceat(v[0], starts), 1, "jaccard-counts", ranges)
+    counts = combined(send(table, emit, 1), lambda level: [np.add], lambda level, v: v[0], 1, "jaccard-counts", ranges)
 
     def keep(row: dict) -> dict[str, list]:
         s = Shingles(row, shingle)

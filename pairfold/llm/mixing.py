@@ -8,8 +8,8 @@ source misses its target by about the size of its largest document at most.
 
 The order is a distributed one: documents are range-partitioned by (source, size, key), ranked
 within (partition, source), and each partition's offset is the count before it. A source that holds
-a third of all rows spans many partitions; no group is gathered in one task. Only counts per
-(partition, source) and per source are ranked by plain windows.
+a third of all rows spans many partitions; no group is gathered in one task. Sources are ordered the
+same way; plain windows run over a row per partition, or over one source's partitions.
 
 Defined cases: null and empty texts have size 0 and are taken with 0 words; a null source is a
 source of its own, ordered last; a null key sorts first; rows that agree in source, size, key and
@@ -31,30 +31,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _running(table: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """``table`` and inclusive running sums along a global order: inside range partitions, and over the partitions before."""
+    placed = stored(table.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "mix-order")
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(F.col("__part").alias("__p")).agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = parts.select("__p", *(F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums))
+    rows = placed.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(before, F.col("__part") == F.col("__p"))
+    return rows.select(*table.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: int = 2) -> DataFrame:
-    """Targets of the sources of ``sizes`` (source, source_size).
+    """Targets of the sources of ``sizes`` (source, source_size), of which there may be many.
 
     Sources in code-point order (null last) weigh ``weights``, repeating, and share ``budget`` times
     all sizes. A target stops at ``cap`` times its source's size and the rest is shared anew by
     weight: with the sources ordered by cap / weight those that stop come first, so one running sum
-    finds the common level. There is a row per source; the table is as small as the list of sources.
+    finds the common level, a number that comes to the driver.
     """
-    everything = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(everything) - 1) % len(weights) + 1).cast("int"))
-    filled = Window.orderBy("full_at", F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    ranked = (
-        sizes.withColumn("weight", w)
-        .withColumn("most", F.col("source_size") * cap)
-        .withColumn("full_at", F.col("most") / F.col("weight"))
-        .withColumn("spent", F.coalesce(F.sum("most").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.sum("source_size").over(whole) * F.lit(budget) - F.col("spent")) / F.col("weight_left"))
-        .withColumn("open_from", F.when(F.col("most") > F.col("weight") * F.col("level"), F.col("full_at")))
-    )
-    level = F.min(F.when(F.col("open_from").isNotNull(), F.struct("full_at", "spent", "level"))).over(whole)["level"]
-    target = F.least(F.col("weight") * F.coalesce(level, F.lit(float("inf"))), F.col("most").cast("double"))
-    return ranked.select("source", "source_size", target.alias("target"))
+    ranked = _running(sizes.withColumn("missing", F.col("source").isNull()), ["missing", "source"], rank=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    full = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap).withColumn("full_at", F.col("most") / F.col("weight")).drop("rank")
+    filled = stored(_running(full, ["full_at", "missing", "source"], upto=F.col("most"), weighed=F.col("weight")), "mix-sources")
+    everything, weighed = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    spent, left = F.col("upto") - F.col("most"), F.lit(weighed or 0) - F.col("weighed") + F.col("weight")
+    levels = filled.withColumn("spent", spent).withColumn("level", (F.lit(everything or 0) * F.lit(budget) - F.col("spent")) / left)
+    first = levels.where(F.col("most") > F.col("weight") * F.col("level")).agg(F.min(F.struct("full_at", "spent", "level")).alias("first")).first()["first"]
+    target = F.least(F.col("weight") * F.lit(float("inf") if first is None else float(first.level)), F.col("most").cast("double"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def systematic_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: int = 2, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", tie: Column | None = None) -> DataFrame:

@@ -292,17 +292,18 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         kept = {-1: s.first[gone], -2: s.last[gone], -3: lo, -4: hi}
         return blobs(row["chunk"], 1, distinct, [least], ranges) + [(-1, row["chunk"], level, b"", pack_ints(np.diff(x, prepend=0))) for level, x in kept.items()]
 
-    first = combined(send(bare, initial, 1), lambda level, starts, v: (np.add.reduceat(v[0], starts) > 1).astype(np.int64), 1, "substrings-1", ranges)
+    first = combined(send(bare, initial, 1), lambda level: [np.add], lambda level, v: (v[0] > 1).astype(np.int64), 1, "substrings-1", ranges)
     second = combined(
         send(with_results(bare, first), refined, 2),
-        lambda level, starts, v: np.minimum.reduceat(v[0], starts) if level == 1 else (np.minimum.reduceat(v[0], starts) < np.maximum.reduceat(v[1], starts)).astype(np.int64),
+        lambda level: [np.minimum, np.add if level == 1 else np.maximum],
+        lambda level, v: v[0] if level == 1 else (v[0] < v[1]).astype(np.int64),
         2,
         "substrings-2",
         ranges,
     )
     sent = stored(send(with_results(bare, first, second), last, 1), "substrings-sent")
     kept = sent.where("part < 0").select("chunk", "part", "level", F.col("v0").alias("result"))
-    third = combined(sent, lambda level, starts, v: np.minimum.reduceat(v[0], starts), 1, "substrings-3", ranges)
+    third = combined(sent, lambda level: [np.minimum], lambda level, v: v[0], 1, "substrings-3", ranges)
 
     def spans(row: dict) -> dict[str, list]:
         b = np.frombuffer(row["body"], dtype=np.uint8)
