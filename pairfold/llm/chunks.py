@@ -8,7 +8,13 @@ chunks' values of a name and sends each chunk the results in the order that the
 names. Whatever is combined is combined inside the chunk first, so that no name, however frequent,
 weighs more than one entry per chunk, and no task holds more than a range of names.
 
+A blob for each chunk and range grows with the square of the input. Beyond ``ONE_LEVEL`` ranges the
+exchange has two levels: chunks cut their names into the square root of the ranges, groups of as many
+chunks are merged there and cut into the ranges themselves, and the results come back by the same way.
+The blobs then grow with the power 1.5, and stay as large as chunks of a terabyte make them.
+
 The chunk table is bucketed by chunk: passes over it that join what came back move only the blobs.
+Names are 64-bit hashes; two of n different strings share one with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +35,8 @@ from pairfold.llm.common import new_path, stored
 #: Bytes of text in a chunk (a longer document is a chunk of its own) and per range of names.
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 6 << 20
+#: Ranges that an exchange of one level may have.
+ONE_LEVEL = 4096
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -91,13 +100,13 @@ def unpack_names(data: bytes) -> np.ndarray:
     return np.cumsum(np.r_[first, steps], dtype=np.uint64)
 
 
-def make_chunks(docs: DataFrame, columns: list, schema: str, pack: Callable[[list[tuple]], dict], n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def make_chunks(docs: DataFrame, columns: list, schema: str, pack: Callable[[list[tuple]], dict], n_bytes: int, chunk_bytes: int | None = None) -> DataFrame:
     """A table of chunks, bucketed by ``chunk``.
 
     ``columns``: what a document is packed from, the text first. ``pack`` turns the documents of a
     chunk, tuples of those columns with the text as bytes or None, into the columns of ``schema``.
     """
-    spark = docs.sparkSession
+    spark, chunk_bytes = docs.sparkSession, chunk_bytes or CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,30 +135,45 @@ def make_chunks(docs: DataFrame, columns: list, schema: str, pack: Callable[[lis
     spark_schema = _parse_datatype_string(f"chunk long, {schema}")
     arrow = to_arrow_schema(spark_schema)
     name = f"chunks_{uuid.uuid4().hex}"
-    buckets = max(8, min(20_000, math.ceil(n_bytes / chunk_bytes)))
+    # Spark takes 100,000 buckets at most; beyond as many chunks a bucket holds several rows, which are worked on one by one.
+    buckets = max(8, min(100_000, math.ceil(n_bytes / chunk_bytes)))
     made = docs.select(*columns).mapInArrow(run, spark_schema)
     made.write.option("path", new_path(spark, "chunks")).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
-def ranges_for(n_bytes: int) -> int:
-    return max(8, min(1 << 16, math.ceil(n_bytes / RANGE_BYTES)))
+@dataclass(frozen=True)
+class Ranges:
+    """``first``: ranges that chunks cut their names into; ``second``: ranges that groups of chunks cut each of these into."""
+
+    first: int
+    second: int = 1
+    groups: int = 1
+
 
+def ranges_for(n_bytes: int) -> Ranges:
+    ranges = max(8, math.ceil(n_bytes / RANGE_BYTES))
+    if ranges <= ONE_LEVEL:
+        return Ranges(ranges)
+    first = math.ceil(math.sqrt(ranges))
+    return Ranges(first, math.ceil(ranges / first), math.ceil(math.sqrt(n_bytes / CHUNK_BYTES)))
 
-def blobs(chunk: int, level: int, names: np.ndarray, values: list[np.ndarray], ranges: int) -> list[tuple]:
+
+def blobs(chunk: int, level: int, names: np.ndarray, values: list[np.ndarray], ranges: Ranges) -> list[tuple]:
     """Rows (range, chunk, level, names, values...) of a chunk's sorted distinct names."""
-    cuts = range_cuts(names, ranges)
-    return [(k, chunk, level, pack_names(names[a:b]), *(pack_ints(v[a:b]) for v in values)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return _cut(chunk, level, names, values, 0, ranges.first, ranges.first)
 
 
-def range_cuts(names: np.ndarray, ranges: int) -> np.ndarray:
-    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
-    return np.r_[0, np.searchsorted(names, edges), len(names)].astype(np.int64)
+def _cut(chunk: int, level: int, names: np.ndarray, values: list[np.ndarray], begin: int, end: int, ranges: int) -> list[tuple]:
+    """Rows of the ranges from ``begin`` to ``end`` of so many in all."""
+    edges = np.array([(k << 64) // ranges for k in range(begin + 1, end)], dtype=np.uint64)
+    cuts = np.r_[0, np.searchsorted(names, edges), len(names)].astype(np.int64)
+    return [(begin + k, chunk, level, pack_names(names[a:b]), *(pack_ints(v[a:b]) for v in values)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
 def send(chunks: DataFrame, emit: Callable[[dict], list[tuple]], n_values: int) -> DataFrame:
     """What ``emit`` makes of each row of the chunk table: rows of blobs()."""
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("level", pa.int32()), ("names", pa.binary()), *((f"v{k}", pa.binary()) for k in range(n_values))])
+    schema = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("level", pa.int32()), ("names", pa.binary()), *((f"v{k}", pa.binary()) for k in range(n_values))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,38 +181,77 @@ def send(chunks: DataFrame, emit: Callable[[dict], list[tuple]], n_values: int)
                 rows = emit(batch.slice(k, 1).to_pylist()[0])
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(len(schema))], schema=schema)
 
-    return chunks.mapInArrow(run, f"part int, chunk long, level int, names binary{''.join(f', v{k} binary' for k in range(n_values))}")
+    return chunks.mapInArrow(run, f"part long, chunk long, level int, names binary{''.join(f', v{k} binary' for k in range(n_values))}")
+
+
+#: Folds the values of equal names that chunks have sent, one for each value: the ufuncs of a level.
+Folds = Callable[[int], list[np.ufunc]]
 
 
-def combined(sent: DataFrame, combine: Callable[[int, np.ndarray, list[np.ndarray]], np.ndarray], n_values: int, label: str, ranges: int, summary: Callable[[int, np.ndarray], int] | None = None, others: bool = False) -> DataFrame:
+def _merged(rows: pd.DataFrame, folds: list[np.ufunc]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct names of blobs, their folded values, each entry's place among them, the blobs' ends, and the values as sent."""
+    names = [unpack_names(x) for x in rows.names]
+    values = [np.concatenate([unpack_ints(x) for x in rows[f"v{k}"]]) for k in range(len(folds))]
+    every = np.concatenate(names)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.r_[True, every[1:] != every[:-1]]
+    starts = np.flatnonzero(new)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return every[new], [f.reduceat(v[order], starts) for f, v in zip(folds, values, strict=True)], back, np.cumsum([len(x) for x in names]), values
+
+
+def combined(sent: DataFrame, folds: Folds, finish: Callable[[int, list[np.ndarray]], np.ndarray], n_values: int, label: str, ranges: Ranges, summary: Callable[[int, np.ndarray], int] | None = None, others: bool = False) -> DataFrame:
     """(chunk, part, level, result): the results for the names of each blob, in its order; stored.
 
+    ``folds`` combine the values of a name, ``finish(level, values)`` makes one whole number per name of them.
+    ``summary`` makes one number of a range's results; it is returned in a row of chunk -1.
     ``others``: a chunk gets a result less its own first value, which it knows; for most rare names that is 0.
-
-    ``combine(level, starts, values)`` gets the values sorted by name, with the start of each name's
-    run, and returns one whole number per name. ``summary`` makes one number of a range's
-    results; it is returned in a row of chunk -1.
     """
-    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+    columns, schema = ["chunk", "part", "level", "result"], "chunk long, part long, level int, result binary"
+
+    def reduced(minus_own: bool):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for level, rows in group.groupby("level"):
+                _, merged, back, ends, values = _merged(rows, folds(int(level)))
+                result = finish(int(level), merged)
+                for chunk, part, a, b in zip(rows.chunk, rows.part, np.r_[0, ends[:-1]], ends, strict=True):
+                    out.append((chunk, part, level, pack_ints(result[back[a:b]] - values[0][a:b] if minus_own else result[back[a:b]])))
+                if summary is not None:
+                    out.append((-1, rows.part.iloc[0], level, pack_ints(np.array([summary(int(level), result)]))))
+            return pd.DataFrame(out, columns=columns)
+
+        return run
+
+    sent = sent.where("part >= 0")
+    if ranges.second == 1:
+        return stored(sent.repartition(ranges.first, "part").groupBy("part").applyInPandas(reduced(others), schema), label)
+
+    def gathered(group: pd.DataFrame) -> pd.DataFrame:
+        out, part, of = [], int(group.part.iloc[0]), int(group.of.iloc[0])
+        for level, rows in group.groupby("level"):
+            names, merged, *_ = _merged(rows, folds(int(level)))
+            out += _cut(of, int(level), names, merged, part * ranges.second, (part + 1) * ranges.second, ranges.first * ranges.second)
+        return pd.DataFrame(out, columns=["part", "chunk", "level", "names", *(f"v{k}" for k in range(n_values))])
+
+    def dealt(group: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         for level, rows in group.groupby("level"):
-            names = [unpack_names(x) for x in rows.names]
-            values = [np.concatenate([unpack_ints(x) for x in rows[f"v{k}"]]) for k in range(n_values)]
-            ends = np.cumsum([len(x) for x in names])
-            every = np.concatenate(names)
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            new = np.r_[True, every[1:] != every[:-1]]
-            result = combine(int(level), np.flatnonzero(new), [v[order] for v in values])
-            back = np.empty(len(order), dtype=np.int64)
-            back[order] = np.cumsum(new) - 1
+            _, _, back, ends, values = _merged(rows, folds(int(level)))
+            result = np.concatenate([unpack_ints(x) for x in found[found.level == level].sort_values("part").result])
             for chunk, part, a, b in zip(rows.chunk, rows.part, np.r_[0, ends[:-1]], ends, strict=True):
                 out.append((chunk, part, level, pack_ints(result[back[a:b]] - values[0][a:b] if others else result[back[a:b]])))
-            if summary is not None:
-                out.append((-1, rows.part.iloc[0], level, pack_ints(np.array([summary(int(level), result)]))))
-        return pd.DataFrame(out, columns=["chunk", "part", "level", "result"])
-
-    return stored(sent.where("part >= 0").repartition(ranges, "part").groupBy("part").applyInPandas(reduce, "chunk long, part int, level int, result binary"), label)
+        return pd.DataFrame(out, columns=columns)
+
+    # What chunks have sent is read twice: on the way to the ranges, and on the way back.
+    sent = stored(sent.withColumn("of", F.pmod(F.xxhash64("chunk"), F.lit(ranges.groups))), f"{label}-sent")
+    merged = sent.groupBy("part", "of").applyInPandas(gathered, f"part long, chunk long, level int, names binary{''.join(f', v{k} binary' for k in range(n_values))}")
+    found = stored(merged.repartition(ranges.first * ranges.second, "part").groupBy("part").applyInPandas(reduced(False), schema), f"{label}-ranges")
+    wide = found.where("chunk >= 0").select(F.expr(f"part div {ranges.second}").alias("wide"), F.col("chunk").alias("group"), "part", "level", "result")
+    back = sent.groupBy("part", "of").cogroup(wide.groupBy("wide", "group")).applyInPandas(dealt, schema)
+    return stored(back.unionByName(found.where("chunk < 0")), label)
 
 
 def total_of(results: DataFrame, level: int) -> int:

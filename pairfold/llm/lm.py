@@ -151,7 +151,7 @@ def score(docs: DataFrame, train: Column, order: int = 3, em_steps: int = 60, ke
             out += blobs(row["chunk"], level + 1, names, [tokens.counts(level)], ranges)
         return out
 
-    sums = combined(send(table, emit, 1), lambda level, starts, values: np.add.reduceat(values[0], starts), 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()), others=True)
+    sums = combined(send(table, emit, 1), lambda level: [np.add], lambda level, values: values[0], 1, "lm-counts", ranges, lambda level, result: int((result > 0).sum()), others=True)
     distinct = total_of(sums, 1)
     size = table.select(F.explode(F.arrays_zip("train", "n_words")).alias("d")).where("d.train").agg(F.sum(F.col("d.n_words") + 1), F.count("*")).first()
     total, texts = int(size[0] or 0), int(size[1])

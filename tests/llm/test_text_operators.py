@@ -50,6 +50,29 @@ def texts(request):
     return df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
+@pytest.fixture(params=[1, 2])
+def levels(request, monkeypatch):
+    """The exchange of names in one level, and in two with several ranges, groups and chunks."""
+    from pairfold.llm import chunks
+
+    if request.param == 2:
+        monkeypatch.setattr(chunks, "ranges_for", lambda n_bytes: chunks.Ranges(3, 4, 3))
+        for module in (lm, jaccard, substrings):
+            monkeypatch.setattr(module, "ranges_for", chunks.ranges_for)
+        monkeypatch.setattr(chunks, "CHUNK_BYTES", 1 << 20)
+    return request.param
+
+
+def test_ranges():
+    from pairfold.llm import chunks
+
+    assert chunks.ranges_for(0) == chunks.Ranges(8)
+    for size in (1 << 30, 1 << 40, 100 << 40):
+        r = chunks.ranges_for(size)
+        assert size / chunks.RANGE_BYTES <= r.first * r.second <= 1.1 * size / chunks.RANGE_BYTES + 8
+        assert (size / chunks.CHUNK_BYTES) * r.first < 1.1e11
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -81,7 +104,20 @@ def roots(n, pairs):
     return [of(x) for x in range(n)]
 
 
-def test_jaccard_equals_all_pairs(texts):
+def test_packed_numbers():
+    import numpy as np
+
+    from pairfold.llm import chunks
+
+    rng = np.random.default_rng(2)
+    for values in ([], [5], [-7, 2**62], [0] * 10 + [2**40], [1, 2, 3], rng.integers(0, 3, 1000), rng.integers(-(2**60), 2**60, 300), np.r_[rng.integers(0, 200, 5000), [70_000, 2**50, 300]], np.r_[np.arange(255), 256]):
+        values = np.array(values, dtype=np.int64)
+        assert chunks.unpack_ints(chunks.pack_ints(values)).tolist() == values.tolist()
+        names = np.unique(values.view(np.uint64))
+        assert chunks.unpack_names(chunks.pack_names(names)).tolist() == names.tolist()
+
+
+def test_jaccard_equals_all_pairs(texts, levels):
     df, rows = texts
     sets = [shingles(t) for _, t in rows]
     links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
@@ -122,7 +158,7 @@ def test_jaccard_representatives(odd):
     assert {k for k, _ in got} == {None} | {k for k, c in comps.items() if k == c}
 
 
-def test_substrings_equal_brute_force(texts):
+def test_substrings_equal_brute_force(texts, levels):
     df, rows = texts
     last = 2**63 - 1
     least = {}
@@ -266,7 +302,7 @@ def lm_brute(rows, train, order, steps=60):
 
 
 @pytest.mark.parametrize("order", [2, 3])
-def test_lm_equals_brute_force(texts, order):
+def test_lm_equals_brute_force(texts, order, levels):
     df, rows = texts
     train = [k is not None and zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows]
     from pyspark.sql import functions as F
@@ -415,6 +451,58 @@ def test_trees_equal_a_plain_traversal():
     assert ((got >= 0.5) == y).mean() > 0.97
 
 
+def plain_boosting(x, y, rounds, depth, rate, bins, smooth, least):
+    """Boosted trees with one threshold tried after the other; scores of the rows fitted to."""
+    import numpy as np
+
+    n = len(y)
+    share = sum(y) / n
+    margin = [math.log(share / (1 - share))] * n
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+        groups = [list(range(n))]
+        for _ in range(depth):
+            split = []
+            for rows in groups:
+                best = (1e-9, None)
+                if len(rows) >= 2 * least:
+                    gain_of = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + smooth)  # noqa: B023, E731
+                    for f, values in enumerate(cuts):
+                        for c in values:
+                            left, right = [i for i in rows if x[i, f] <= c], [i for i in rows if x[i, f] > c]
+                            if len(left) >= least and len(right) >= least:
+                                gain = gain_of(left) + gain_of(right) - gain_of(rows)
+                                if gain > best[0] + 1e-12:
+                                    best = (gain, (left, right))
+                split += best[1] or (rows, [])
+            groups = split
+        for rows in groups:
+            step = -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + smooth)
+            for i in rows:
+                margin[i] += step
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def test_boosting_equals_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    x = np.c_[rng.normal(size=(160, 3)), rng.integers(0, 4, 160)]
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 1) ^ (rng.random(160) < 0.1)).astype(float)
+    trees = quality.fit(x, y, rounds=6, depth=3, rate=0.3, bins=12, smooth=1.0, least=8)
+    assert trees.score(x) == pytest.approx(plain_boosting(x, y.tolist(), 6, 3, 0.3, 12, 1.0, 8), rel=1e-9)
+
+
+def test_quality_labels_with_clashing_columns(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    wide = labels.withColumns({c: F.lit("x") for c in ("text", "source", "key", "x", "__label", "__of", "__key")})
+    assert rows_of(quality.classify(docs, quality.learn(docs, wide)), "doc_id", "score") == rows_of(quality.classify(docs, quality.learn(docs, labels)), "doc_id", "score")
+
+
 def test_language_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op5_language_id(spark, sf)
@@ -559,6 +647,26 @@ def test_licence_scan_equals_its_sql(spark):
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_licence_scan_of_wrapped_texts_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(21)
+    known = list(licences.all_sentences())
+    texts = [before + text.replace("\n", line + between) for text in WRAPPED.values() for before, between in (("", ""), ("# ", "# "), (" * ", " *  "), ("REM ", "REM ")) for line in ("\n", "\r\n", "\r")]
+    for _ in range(300):  # pieces of licences between odd lines
+        parts = [rng.choice([*known, "1) ", "rem", "dnl  ", "(c) 2020", "", "...", "v. 2.0; the", "a)", "-----"]) for _ in range(rng.randrange(1, 9))]
+        text = "".join(x + rng.choice(["\n", " ", ". ", "\n\n", "; ", "\n# ", "\t", "\n 1) "]) for x in parts)
+        texts.append("".join(c if rng.random() > 0.02 else rng.choice("\n .") for c in text))
+    rows = [(k, t) for k, t in enumerate([*texts, None, "", "\n", "P", "L S"])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op6_licence_scan"]).fetchall()
+    got = queries.op6_licence_scan(spark, str(tmp_path)).collect()
+    assert sum(r.n_sentences for r in got) > 300
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_mixing_takes_near_its_targets(texts, none):
     df, rows = texts
     got = mixing.systematic_copies(df).collect()
