@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairfold.functions.expressions import Expression
 from pairfold.functions.geometry import Cell, angle, dihedral, minus, norm, truncated, wrapped_angle
-from pairfold.functions.scalars import spline_grid
+from pairfold.functions.scalars import erf, erfc, spline_grid
 from pairfold.operators.reduce import gather_pairs, members
 
 XYZ = ["x", "y", "z"]
@@ -70,6 +70,37 @@ def coulomb(pairs: DataFrame, qi: Column, qj: Column, cutoff: float, reaction_fi
     return pairs.withColumn("u", constant * qi * qj * (1 / r + k * r * r - (1 / cutoff + k * cutoff**2)))
 
 
+def lennard_jones_power(pairs: DataFrame, sigma: Column, epsilon: Column, cutoff: float, start: float) -> DataFrame:
+    """The same with forces switched off in half powers of r: each power n is r^-n less (start cutoff)^(-n/2) up to the
+    start, and k (r^(-n/2) - cutoff^(-n/2))^2 with k = cutoff^(n/2) / (cutoff^(n/2) - start^(n/2)) behind it."""
+
+    def part(n: int) -> Column:
+        half = n // 2
+        k = cutoff**half / (cutoff**half - start**half)
+        rest = F.pow("r", -half) - F.lit(cutoff**-half)
+        return F.when(F.col("r") <= start, F.pow("r", -n) - F.lit((start * cutoff) ** -half)).when(F.col("r") < cutoff, F.lit(k) * rest * rest).otherwise(0.0)
+
+    return pairs.withColumn("u", 4 * epsilon * (F.pow(sigma, 12) * part(12) - F.pow(sigma, 6) * part(6)))
+
+
+def soft_core(pairs: DataFrame, sigma: Column, epsilon: Column, decoupled: Column, alpha: float = 0.5, power: int = 1) -> DataFrame:
+    """The energy of pairs that are decoupled by a share from 0 to 1: (1 - share) times that at (alpha sigma^6 share^power + r^6)^(1/6)."""
+    six = F.pow(sigma, 6) / (alpha * F.pow(sigma, 6) * F.pow(decoupled, power) + F.pow("r", 6))
+    return pairs.withColumn("u", (1 - decoupled) * 4 * epsilon * (six * six - six))
+
+
+def screened(pairs: DataFrame, qi: Column, qj: Column, width: float, excluded: bool = False, constant: float = 138.935456) -> DataFrame:
+    """The short-range part of a screened sum, constant qi qj erfc(width r) / r; for ``excluded`` pairs what the long-range
+    part has given them and takes back, -constant qi qj erf(width r) / r."""
+    share = -erf(width * F.col("r")) if excluded else erfc(width * F.col("r"))
+    return pairs.withColumn("u", constant * qi * qj * share / F.col("r"))
+
+
+def custom(rows: DataFrame, potential: str, **values: Column | float) -> DataFrame:
+    """Any expression of a pair's, tuple's or row's columns and of values given by name."""
+    return rows.withColumn("u", Expression.parse(potential).column(values))
+
+
 def restraint(table: DataFrame, reference: DataFrame, key: str = "pid") -> DataFrame:
     """k/2 |x - x0|^2 of a reference table (key, x0, y0, z0, k)."""
     t = table.join(reference, key)

@@ -497,6 +497,32 @@ def coulomb_energies(spark, d):
     return found.agg(F.round(F.sum("plain"), 1).alias("plain"), F.round(F.sum("field"), 1).alias("field"))
 
 
+_erf = "(2 / sqrt(pi()) * list_sum([(CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow({x}, 2 * n + 1) / (gamma(n + 1.0::DOUBLE) * (2 * n + 1)) FOR n IN range(0, 50)]))"
+
+
+@query(f"""WITH p AS (SELECT sqrt(d * d) + 0.02::DOUBLE AS r, CASE WHEN i % 2 = 0 THEN 0.4 ELSE -0.4 END * CASE WHEN j % 2 = 0 THEN 0.4 ELSE -0.4 END AS qq FROM ({_close}))
+SELECT round(sum(138.935456 * qq * (1 - {_erf.format(x='(20 * r)')}) / r), 1) AS near, round(sum(-138.935456 * qq * {_erf.format(x='(20 * r)')} / r), 1) AS taken_back FROM p""")
+def screened_energies(spark, d):
+    found = pairs.range_pairs(table(spark, d, "events"), "event_id", ["value"], CUT).withColumn("r", F.col("r") + F.lit(0.02))
+    q = lambda c: F.when(F.col(c) % 2 == 0, 0.4).otherwise(-0.4)
+    found = terms.screened(found, q("i"), q("j"), 20.0).withColumnRenamed("u", "near")
+    found = terms.screened(found, q("i"), q("j"), 20.0, excluded=True).withColumnRenamed("u", "taken_back")
+    return found.agg(F.round(F.sum("near"), 1).alias("near"), F.round(F.sum("taken_back"), 1).alias("taken_back"))
+
+
+_power = "CASE WHEN r <= 0.05 THEN pow(r, -{n}) - pow(0.05 * 0.075, -{h}) WHEN r < 0.075 THEN pow(0.075, {h}) / (pow(0.075, {h}) - pow(0.05, {h})) * pow(pow(r, -{h}) - pow(0.075, -{h}), 2) ELSE 0 END"
+
+
+@query(f"""WITH p AS (SELECT sqrt(d * d) + 0.02::DOUBLE AS r, (i % 3) / 2.0 AS l FROM ({_close})), s AS (SELECT *, pow(0.03, 6) / (0.5 * pow(0.03, 6) * pow(l, 2) + pow(r, 6)) AS six FROM p)
+SELECT round(sum((1 - l) * 4 * (six * six - six)), 2) AS softened, round(sum(4 * (pow(0.03, 12) * ({_power.format(n=12, h=6)}) - pow(0.03, 6) * ({_power.format(n=6, h=3)}))), 2) AS switched, round(sum(0.5 * (0.09 - r) * (0.09 - r) * exp(-r / 0.05)), 5) AS custom FROM s""")
+def softened_energies(spark, d):
+    found = pairs.range_pairs(table(spark, d, "events"), "event_id", ["value"], CUT).withColumn("r", F.col("r") + F.lit(0.02))
+    found = terms.soft_core(found, F.lit(0.03), F.lit(1.0), (F.col("i") % 3) / F.lit(2.0), power=2).withColumnRenamed("u", "softened")
+    found = terms.lennard_jones_power(found, F.lit(0.03), F.lit(1.0), 0.075, 0.05).withColumnRenamed("u", "switched")
+    found = terms.custom(found, "k*(c - r)^2*exp(-r/b); k = 0.5; c = 0.09", b=0.05).withColumnRenamed("u", "custom")
+    return found.agg(F.round(F.sum("softened"), 2).alias("softened"), F.round(F.sum("switched"), 2).alias("switched"), F.round(F.sum("custom"), 5).alias("custom"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN p_size = 7 THEN 99.0 END, CASE p_size % 3 WHEN 0 THEN (l_tax + l_discount) / 2 WHEN 1 THEN sqrt(l_tax * l_discount) ELSE l_tax * l_discount END)::DOUBLE AS mixed FROM lineitem JOIN part ON p_partkey = l_partkey")
 def mixed_parameters(spark, d):
     t = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))

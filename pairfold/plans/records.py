@@ -207,3 +207,16 @@ def reported_batches(spark, d):
         write(events.where((F.col("event_id") >= number * 2500) & (F.col("event_id") < (number + 1) * 2500)), number)
     kept = sinks.continued(spark.read.parquet(path), "event_id", 7000)
     return kept.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT report, count(*) AS n, sum(event_id)::BIGINT AS steps FROM (SELECT 'energy' AS report, event_id FROM events WHERE event_id % 10 = 0 UNION ALL SELECT 'frame', event_id FROM events WHERE event_id % 50 = 0) GROUP BY 1")
+def reporters(spark, d):
+    """Two reports of a stream of the table's rows, each with its own period."""
+    paths = {name: records.scratch(spark, name) for name in ("energy", "frame")}
+    source, events = records.scratch(spark, "steps"), table(spark, d, "events").select("event_id", "value")
+    events.repartition(4).write.parquet(source)
+    write = sinks.reporters({paths["energy"]: (10, lambda rows: rows), paths["frame"]: (50, lambda rows: rows.select("event_id"))}, "event_id")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", records.scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    both = [spark.read.parquet(p).select(F.lit(name).alias("report"), "event_id") for name, p in paths.items()]
+    return both[0].unionByName(both[1]).groupBy("report").agg(F.count("*").alias("n"), F.sum("event_id").alias("steps"))

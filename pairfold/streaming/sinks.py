@@ -18,6 +18,21 @@ def resumable(path: str, report: Callable[[DataFrame], DataFrame] | None = None)
     return write
 
 
+def reporters(reports: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]], step: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: several resumable sinks of one stream; each path gets its report of the rows of every ``period``-th step."""
+    if any(period < 1 for period, _ in reports.values()):
+        raise ValueError("a period is 1 or more")
+    writers = {path: (period, resumable(path, report)) for path, (period, report) in reports.items()}
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()  # read once, written several times
+        for period, writer in writers.values():
+            writer(held.where(F.col(step) % period == 0), number)
+        held.unpersist()
+
+    return write
+
+
 def continued(rows: DataFrame, step: str, after: int) -> DataFrame:
     """Rows that a continuation from a step keeps: those up to it; later ones are made anew."""
     return rows.where(F.col(step) <= after)
