@@ -21,6 +21,8 @@ is the uniform one of an empty vocabulary, 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,8 @@ def _estimates(tokens: Tokens, rows: list[dict], total: int, texts: int, deleted
     return counts, contexts
 
 
+#: Rows of the EM's table that a task takes in a step.
+CELLS = 1 << 21
 #: The buckets taken together; their weights serve a bucket that no token is in.
 ALL = -1
 
@@ -112,6 +116,7 @@ def _em(cells: DataFrame, order: int, distinct: int, steps: int, close: float =
     values = [F.lit(1 / (distinct + 1)), *(F.when(F.col(f"q{k}") > FLOOR, 0.0).otherwise(F.pow(F.lit(2.0), -F.col(f"q{k}") / F.lit(float(STEPS)))) for k in range(1, order + 1))]
     every = cells.select(F.explode(F.array("bucket", F.lit(ALL))).alias("bucket"), "n", *(v.alias(f"p{k}") for k, v in enumerate(values)))
     every = stored(every.groupBy("bucket", *(f"p{k}" for k in range(order + 1))).agg(F.sum("n").alias("n")), "lm-cells")
+    every = stored(every.coalesce(math.ceil((every.count() + 1) / CELLS)), "lm-cells")
     seen: set[int] = set()
     for _ in range(steps):
         table = F.split(F.lit(",".join(repr(float(x)) for x in weights.ravel())), ",").cast("array<double>")
@@ -132,7 +137,7 @@ def _em(cells: DataFrame, order: int, distinct: int, steps: int, close: float =
     return weights[:BUCKETS]
 
 
-def score(docs: DataFrame, train: Column, order: int = 3, em_steps: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = 2, em_steps: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Scores are log10 probabilities of the whole text with its end; ``base_score`` is the add-one
