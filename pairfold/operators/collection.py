@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,33 @@ def ordered_fold(table: DataFrame, bin_: str, by: list[str], value: str, start:
     return listed.select(bin_, F.aggregate("__m", F.lit(start), lambda acc, x: step(acc, x["__v"])).alias(name))
 
 
+def streamed_fold(table: DataFrame, bin_: str, by: list[str], value: str, start: float, step: Callable[[float, np.ndarray], float], name: str = "fold") -> DataFrame:
+    """(bin, fold): the same for bins of any size: a bin's rows stream through a task in the order of ``by``.
+
+    ``step`` takes the fold so far and the next values of the bin, as many as happen to be at hand.
+    """
+    rows = table.select(F.col(bin_).alias("__bin"), F.xxhash64(F.col(bin_), F.col(bin_).isNull()).alias("__of"), *by, F.col(value).cast("double").alias("__v"))
+    kind = table.schema[bin_].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, key, fold = None, None, start
+        for frame in frames:
+            ids = frame["__of"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist() if len(ids) else []
+            done = []
+            for a, b in zip(cuts, [*cuts[1:], len(ids)]):
+                if ids[a] != of:
+                    if of is not None:
+                        done.append((key, fold))
+                    of, key, fold = ids[a], frame["__bin"].iloc[a], start
+                fold = step(fold, frame["__v"].to_numpy()[a:b])
+            yield pd.DataFrame(done, columns=[bin_, name])
+        if of is not None:
+            yield pd.DataFrame([(key, fold)], columns=[bin_, name])
+
+    return rows.repartition("__of").sortWithinPartitions("__of", *by).mapInPandas(run, f"{bin_} {kind}, {name} double")
+
+
 def append(table: DataFrame, keep: Column, order: list[str], block: int, blocks: int) -> DataFrame:
     """Kept rows in blocks of ``block``: columns place, block, slot and written.
 
@@ -173,6 +201,12 @@ def incidence(tuples: DataFrame, tid: str, members: list[str]) -> DataFrame:
     return flat.groupBy("member").agg(F.array_sort(F.collect_list(F.struct(F.col(tid).alias("tid"), "place"))).alias("tuples"))
 
 
+def incidence_entries(tuples: DataFrame, tid: str, members: list[str]) -> DataFrame:
+    """(member, at, tid, place): the same, an entry a row, with its place in the member's list."""
+    flat = tuples.select(F.col(tid).alias("tid"), F.posexplode(F.array(*members)).alias("place", "member"))
+    return ordered_by_group(flat, "member", ["tid", "place"], "at").select("member", "at", "tid", "place")
+
+
 def renumber(tuples: DataFrame, members: list[str], ids: DataFrame, old: str, new: str) -> DataFrame:
     """Members of tuples by new numbers; one equi-join per place."""
     out = tuples
@@ -189,6 +223,12 @@ def ragged(table: DataFrame, owner: str, owners: DataFrame, key: str, order: lis
     return scan(rows.withColumn("count", F.size("entries").cast("long")), [key], "count", "first").select(key, "first", "count", "entries")
 
 
+def ragged_entries(table: DataFrame, owner: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(owner, entry, <order>..., <fields>...): the entries of all owners, an entry a row, numbered from 0 in its owner."""
+    rows = table.where(F.col(owner).isNotNull()).select(owner, *order, *[f for f in fields if f not in order])
+    return ordered_by_group(rows, owner, order, "entry")
+
+
 def grid_plan(length: float, width: float, least: int, most: int) -> int:
     """Bins along an axis: length / width in whole numbers, from ``least`` to ``most``; NaN gives ``least``."""
     ratio = length / width if width else float("inf")

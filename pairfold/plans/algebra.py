@@ -339,6 +339,32 @@ def grid_plans(spark, d):
     return table(spark, d, "region").select("r_regionkey", F.element_at(F.array(*[F.lit(x).cast("long") for x in plans]), F.col("r_regionkey") + 1).alias("bins"))
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINES = ", ".join(LINE)
+
+
+def _halved(fold: float, values: np.ndarray) -> float:
+    for x in values.tolist():
+        fold = fold * 0.5 + x
+    return fold
+
+
+@query(f"SELECT o AS l_suppkey, list_reduce(list_prepend(0.0::DOUBLE, vs), lambda acc, x: acc * 0.5::DOUBLE + x) AS fold FROM (SELECT l_suppkey AS o, list(l_quantity ORDER BY {LINES}) AS vs FROM lineitem GROUP BY 1)")
+def streamed_fold_suppliers(spark, d):
+    return collection.streamed_fold(table(spark, d, "lineitem"), "l_suppkey", LINE, "l_quantity", 0.0, _halved)
+
+
+@query("SELECT l_partkey AS member, row_number() OVER (PARTITION BY l_partkey ORDER BY o) - 1 AS \"at\", o AS tid FROM (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS o FROM lineitem)")
+def incidence_entries_parts(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return collection.incidence_entries(lines, "o", ["l_partkey"]).select("member", "at", "tid")
+
+
+@query(f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES}) - 1 AS entry, {LINES.replace('l_orderkey, ', '')} FROM lineitem")
+def ragged_entries_orders(spark, d):
+    return collection.ragged_entries(table(spark, d, "lineitem"), "l_orderkey", LINE[1:], [])
+
+
 # Terms over a chain of points.
 
 _chain = "WITH p AS (SELECT p_partkey AS pid, (p_partkey * 37 % 101) / 101.0::DOUBLE AS x, (p_partkey * 59 % 103) / 103.0::DOUBLE AS y, (p_partkey * 83 % 107) / 107.0::DOUBLE AS z, CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE -0.4 END AS q, 1.0 + p_size % 3 AS m, p_size AS g, p_retailprice AS price FROM part)"
