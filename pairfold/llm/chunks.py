@@ -139,7 +139,10 @@ def make_chunks(docs: DataFrame, columns: list, schema: str, pack: Callable[[lis
     buckets = max(8, min(100_000, math.ceil(n_bytes / chunk_bytes)))
     made = docs.select(*columns).mapInArrow(run, spark_schema)
     made.write.option("path", new_path(spark, "chunks")).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    # The frame knows the files and their buckets; the catalog keeps no entry (the files are not its own and stay).
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return chunks
 
 
 @dataclass(frozen=True)
