@@ -6,7 +6,6 @@ they copy and its image. Axes are periodic and rectangular.
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
