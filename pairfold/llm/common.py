@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folder: str | None = None
+_cleaned = 0.0
 #: What this session has written to the shared folder.
 _paths: list[str] = []
 
@@ -50,9 +53,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    forget_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession, seconds: float = 4.0) -> None:
+    """Let Spark drop the files of shuffles that nothing refers to any more, at most once in so many seconds.
+
+    Its cleaner acts only when the driver collects garbage, which a driver with little to do puts off while files pile up.
+    """
+    global _cleaned
+    if time.monotonic() - _cleaned >= seconds:
+        gc.collect()
+        spark._jvm.System.gc()
+        _cleaned = time.monotonic()
+
+
 def release(spark: SparkSession) -> int:
     """Delete what the corpus operators have left in the shared folder; the number of paths.
 
