@@ -65,3 +65,13 @@ def test_triplet_counts_are_those_of_triplets(events):
 def test_exact_sum_with_times(spark):
     t = spark.createDataFrame([(0.1234567, 3), (-2.5, 2)], "x double, n long")
     assert t.agg(exact_sum("x", times=F.col("n"))).first()[0] == pytest.approx(3 * 0.123457 - 5.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["kind_pair_segments", "pair_sum_kernel", "pair_gather_kernel", "symmetric_vs_directed", "triplets_events", "kind_pairs_ordered", "kind_pairs_anchored", "lj_truncations", "lj_pair_energy", "coulomb_energies", "screened_energies", "softened_energies"])
+def test_queries_join_places_and_not_rows(spark, tmp_path, events, name):
+    """Copies of the rows multiply the pairs of rows; the join on bins sees as many places as before."""
+    many = events.where("value IS NOT NULL").crossJoin(spark.range(20)).select((F.col("event_id") + 60 * F.col("id")).alias("event_id"), "value", "user_id", "event_type")
+    many.write.parquet(f"{tmp_path}/events.parquet")
+    met = catalog.QUERIES[name](spark, str(tmp_path))
+    met.collect()
+    assert "site" in met._jdf.queryExecution().executedPlan().toString()
