@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairfold.functions.expressions import Expression
+from pairfold.functions.scalars import divide
 from pairfold.operators.reduce import gather_pairs
 
 
@@ -30,9 +31,9 @@ def requested(rows: DataFrame, potential: str, parameters: dict[str, float], der
 
 
 def pair_force(potential: str, parameters: dict[str, float], axes: list[str], distance: str = "r") -> dict[str, Column]:
-    """The force on i of a pair at the difference d<axis> = x_i - x_j: -u'(r) d / r per axis."""
+    """The force on i of a pair at the difference d<axis> = x_i - x_j: -u'(r) d / r per axis; NaN at r = 0, where it has no direction."""
     slope = Expression.parse(potential).derivative(distance).column(parameters)
-    return {f"f{a}": -slope * F.col(f"d{a}") / F.col(distance) for a in axes}
+    return {f"f{a}": divide(-slope * F.col(f"d{a}"), F.col(distance)) for a in axes}
 
 
 def pair_forces(entities: DataFrame, key: str, pairs: DataFrame, potential: str, parameters: dict[str, float], axes: list[str]) -> DataFrame:

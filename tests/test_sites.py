@@ -75,3 +75,11 @@ def test_queries_join_places_and_not_rows(spark, tmp_path, events, name):
     met = catalog.QUERIES[name](spark, str(tmp_path))
     met.collect()
     assert "site" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forces_at_one_place_are_nan(spark):
+    t = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.02), (3, 9.0)], "k long, x double")
+    found = pairs.range_pairs(t, "k", ["x"], CUT)
+    got = dict(map(tuple, evaluate.pair_forces(t, "k", found, "k/2*(c - r)^2", {"k": 5.0, "c": CUT}, ["x"]).collect()))
+    assert math.isnan(got[0]) and math.isnan(got[1]) and got[2] == pytest.approx(2 * 5 * (CUT - 0.02)) and got[3] == 0
+    assert math.isnan(evaluate.pair_virial(found, "k/2*(c - r)^2", {"k": 5.0, "c": CUT}, ["x"]).first()[0])
