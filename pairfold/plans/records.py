@@ -202,9 +202,8 @@ def reported_batches(spark, d):
     path = records.scratch(spark, "reports")
     write = sinks.resumable(path, lambda batch: batch.select("event_id"))
     events = table(spark, d, "events")
-    last = events.agg(F.max("event_id")).first()[0]
-    for number in [*range(last // 2500 + 1), 1]:
-        write(events.where((F.col("event_id") >= number * 2500) & (F.col("event_id") < (number + 1) * 2500)), number)
+    sinks.written_batches(events, path, F.expr("event_id div 2500"), lambda rows: rows.select("event_id", "batch"))
+    write(events.where((F.col("event_id") >= 2500) & (F.col("event_id") < 5000)), 1)
     kept = sinks.continued(spark.read.parquet(path), "event_id", 7000)
     return kept.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,16 @@ def resumable(path: str, report: Callable[[DataFrame], DataFrame] | None = None)
     return write
 
 
+def written_batches(rows: DataFrame, path: str, number: Column, report: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Many batches at once into the table of resumable(): ``number`` is a row's batch; each batch given replaces itself.
+
+    One pass over the rows, whatever their number of batches.
+    """
+    numbered = rows.withColumn("batch", number.cast("int"))
+    kept = (report(numbered) if report else numbered).repartition("batch")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def reporters(reports: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]], step: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: several resumable sinks of one stream; each path gets its report of the rows of every ``period``-th step."""
     if any(period < 1 for period, _ in reports.values()):

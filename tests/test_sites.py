@@ -83,3 +83,12 @@ def test_forces_at_one_place_are_nan(spark):
     got = dict(map(tuple, evaluate.pair_forces(t, "k", found, "k/2*(c - r)^2", {"k": 5.0, "c": CUT}, ["x"]).collect()))
     assert math.isnan(got[0]) and math.isnan(got[1]) and got[2] == pytest.approx(2 * 5 * (CUT - 0.02)) and got[3] == 0
     assert math.isnan(evaluate.pair_virial(found, "k/2*(c - r)^2", {"k": 5.0, "c": CUT}, ["x"]).first()[0])
+
+
+def test_written_batches_replace_themselves(spark, tmp_path):
+    path = f"{tmp_path}/batches"
+    sinks.written_batches(spark.range(1000), path, F.expr("id div 10"))
+    sinks.written_batches(spark.range(10, 15), path, F.expr("id div 10"))
+    sinks.resumable(path)(spark.range(20, 23), 2)
+    counts = dict(map(tuple, spark.read.parquet(path).groupBy("batch").count().collect()))
+    assert counts == {k: {1: 5, 2: 3}.get(k, 10) for k in range(100)}
