@@ -75,9 +75,12 @@ def bin_starts(table: DataFrame, bin_: Column, bins: int) -> DataFrame:
     return scan(every, ["bin"], "count", "start")
 
 
-def sort_by_key(table: DataFrame, bin_: Column, bins: int, by: list[str], name: str = "place") -> DataFrame:
-    """Rows with bin and place: a counting sort, stable by ``by`` in each bin; bin_starts() has the bins' starts."""
-    rows = table.withColumn("bin", bin_.cast("long")).where(F.col("bin").between(0, bins - 1))
+def sort_by_key(table: DataFrame, bin_: Column, bins: int | None, by: list[str], name: str = "place") -> DataFrame:
+    """Rows with bin and place: a counting sort, stable by ``by`` in each bin; bin_starts() has the bins' starts.
+
+    Without ``bins`` there are as many as the rows need.
+    """
+    rows = table.withColumn("bin", bin_.cast("long")).where("bin >= 0" if bins is None else F.col("bin").between(0, bins - 1))
     return places(rows, ["bin", *by], name)
 
 

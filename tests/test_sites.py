@@ -92,3 +92,14 @@ def test_written_batches_replace_themselves(spark, tmp_path):
     sinks.resumable(path)(spark.range(20, 23), 2)
     counts = dict(map(tuple, spark.read.parquet(path).groupBy("batch").count().collect()))
     assert counts == {k: {1: 5, 2: 3}.get(k, 10) for k in range(100)}
+
+
+def test_sort_by_key_without_a_number_of_bins(spark):
+    t = spark.createDataFrame([(12_000,), (3,), (10_000,)], "b long")
+    assert sorted(map(tuple, collection.sort_by_key(t, F.col("b"), None, ["b"]).select("b", "place").collect())) == [(3, 0), (10_000, 1), (12_000, 2)]
+
+
+def test_sorted_lines_keep_every_supplier(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50)
+    lines.withColumn("l_suppkey", F.col("l_suppkey") + 10_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalog.QUERIES["sort_by_key_bins"](spark, str(tmp_path)).count() == 50
