@@ -9,6 +9,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairfold.functions.scalars import rounded
 from pairfold.plans.registry import query, table
 from pairfold.sources import records, structures, topologies
 from pairfold.streaming import sinks
@@ -28,7 +29,7 @@ _atoms = """WITH a AS (SELECT s_suppkey AS k, s_nationkey AS s, round(s_acctbal
 def _atom_table(spark, d):
     k, s = F.col("s_suppkey"), F.col("s_nationkey")
     return table(spark, d, "supplier").select(
-        k.alias("k"), s.alias("s"), F.round(F.col("s_acctbal") / 100, 3).alias("x"), ((k % 7) * 1.5).alias("y"), (-s * F.lit(0.25)).alias("z"), F.concat(F.lit("C"), (k % 10).cast("string")).alias("name"), F.concat(F.lit("R"), (s % 9).cast("string")).alias("resname")
+        k.alias("k"), s.alias("s"), rounded(F.col("s_acctbal") / 100, 3).alias("x"), ((k % 7) * 1.5).alias("y"), (-s * F.lit(0.25)).alias("z"), F.concat(F.lit("C"), (k % 10).cast("string")).alias("name"), F.concat(F.lit("R"), (s % 9).cast("string")).alias("resname")
     )
 
 
@@ -90,11 +91,11 @@ def _section(flag: str, form: str, values, a_line: int, width: int):
 @query(f"{_atoms}, o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS pos FROM a) SELECT s, pos::INTEGER AS \"at\", name, round(x * 18.2223, 2) AS charge, y + 1 AS mass, (pos - 1)::INTEGER AS before FROM o")
 def source_amber_topology(spark, d):
     a = _atom_table(spark, d)
-    e = lambda c: F.format_string("%16.8E", c)
-    listed = a.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.rpad("name", 4, " ").alias("name"), e(F.col("x") * 18.2223).alias("q"), e(F.col("y").cast("double") + 1).alias("m")))).alias("l"))
+    e = lambda c, form="%16.8E": F.format_string(form, c)
+    listed = a.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.rpad("name", 4, " ").alias("name"), e(F.col("x") * 18.2223, "%24.16E").alias("q"), e(F.col("y").cast("double") + 1).alias("m")))).alias("l"))
     pick = lambda f: F.transform("l", lambda x: x[f])
     bonds = F.when(F.size("l") > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.array(F.format_string("%8d", 3 * (k - 1)), F.format_string("%8d", 3 * k), F.format_string("%8d", F.lit(1)))))).otherwise(F.array().cast("array<string>"))
-    text = F.concat_ws("\n", F.lit("%VERSION  VERSION_STAMP = V0001.000"), _section("ATOM_NAME", "20a4", pick("name"), 20, 4), _section("CHARGE", "5E16.8", pick("q"), 5, 16), _section("MASS", "5E16.8", pick("m"), 5, 16), _section("BONDS_WITHOUT_HYDROGEN", "10I8", bonds, 10, 8))
+    text = F.concat_ws("\n", F.lit("%VERSION  VERSION_STAMP = V0001.000"), _section("ATOM_NAME", "20a4", pick("name"), 20, 4), _section("CHARGE", "3E24.16", pick("q"), 3, 24), _section("MASS", "5E16.8", pick("m"), 5, 16), _section("BONDS_WITHOUT_HYDROGEN", "10I8", bonds, 10, 8))
     path = _written(spark, listed.select("s", text.alias("value")), "prmtop", "s")
     sections = topologies.amber_sections(spark, path)
     atoms = topologies.amber_fields(sections, {"name": ("ATOM_NAME", "string"), "charge": ("CHARGE", "double"), "mass": ("MASS", "double")})

@@ -103,3 +103,13 @@ def test_sorted_lines_keep_every_supplier(spark, tmp_path):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50)
     lines.withColumn("l_suppkey", F.col("l_suppkey") + 10_000).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert catalog.QUERIES["sort_by_key_bins"](spark, str(tmp_path)).count() == 50
+
+
+def test_charges_keep_the_digits_of_the_sql(spark, tmp_path):
+    """Balances whose quotient or charge is next to a half of its last digit."""
+    balances = [-818.85, -814.35] + [round((i * 7919 % 1099999 - 99999) / 100, 2) for i in range(12_000)]
+    spark.createDataFrame([(k, 0, b) for k, b in enumerate(balances)], "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = {(r[1], r[3]) for r in con.execute(catalog.ORACLES["source_amber_topology"]).fetchall()}
+    assert {(r["at"], r["charge"]) for r in catalog.QUERIES["source_amber_topology"](spark, str(tmp_path)).collect()} == want
