@@ -74,7 +74,7 @@ def test_queries_join_places_and_not_rows(spark, tmp_path, events, name):
     many.write.parquet(f"{tmp_path}/events.parquet")
     met = catalog.QUERIES[name](spark, str(tmp_path))
     met.collect()
-    assert "site" in met._jdf.queryExecution().executedPlan().toString()
+    assert "site" in met._jdf.queryExecution().analyzed().toString()
 
 
 def test_forces_at_one_place_are_nan(spark):
@@ -113,3 +113,19 @@ def test_charges_keep_the_digits_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     want = {(r[1], r[3]) for r in con.execute(catalog.ORACLES["source_amber_topology"]).fetchall()}
     assert {(r["at"], r["charge"]) for r in catalog.QUERIES["source_amber_topology"](spark, str(tmp_path)).collect()} == want
+
+
+def test_born_radii_take_what_comes_along_with_the_pairs(spark):
+    from pairfold.operators import terms
+
+    t = spark.createDataFrame([(k, 0.03 * k, 0.01 * (k % 3), 0.0, 0.012 + 0.002 * (k % 2), 0.01) for k in range(20)], "pid long, x double, y double, z double, rho double, scaled double")
+    joined = terms.born_radii(t, "pid", pairs.range_pairs(t, "pid", ["x", "y", "z"], 0.1))
+    met = terms.born_radii(t, "pid", pairs.range_pairs(t, "pid", ["x", "y", "z"], 0.1, carry=["rho", "scaled"]))
+    assert {r[0]: round(r[1], 12) for r in met.collect()} == {r[0]: round(r[1], 12) for r in joined.collect()}
+
+
+def test_candidates_are_dealt_over_partitions(spark):
+    """A small table is read by one task; its candidates are not."""
+    t = spark.range(2000).coalesce(1).select("id", (F.col("id") % 97 / 97.0).alias("x"))
+    found = pairs.range_pairs(t, "id", ["x"], 0.02)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
