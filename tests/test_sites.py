@@ -129,3 +129,37 @@ def test_candidates_are_dealt_over_partitions(spark):
     t = spark.range(2000).coalesce(1).select("id", (F.col("id") % 97 / 97.0).alias("x"))
     found = pairs.range_pairs(t, "id", ["x"], 0.02)
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def odd_events(spark):
+    """Copies at one place, a repeated key, null keys, and values that are null or not finite."""
+    odd = [(60, None, 1, "view"), (61, math.nan, 1, "view"), (62, math.nan, 2, "click"), (63, math.inf, 1, "purchase"), (64, math.inf, 2, "view"), (65, -0.0, 1, "click"), (66, 0.0, None, "purchase"), (5, 0.02, 2, "click"), (5, 0.0, 1, "view"), (None, 0.0, 1, "view")]
+    return spark.createDataFrame(ROWS[:60] + odd, "event_id long, value double, user_id long, event_type string")
+
+
+def pairs_in_sql(frame, query):
+    con = duckdb.connect()
+    con.register("frame", frame.toPandas().assign(event_id=lambda t: t.event_id.astype("Int64"), user_id=lambda t: t.user_id.astype("Int64")))
+    # toPandas makes NaN of null values; only row 60 has a null.
+    con.execute("CREATE VIEW events AS SELECT event_id, CASE WHEN event_id = 60 THEN NULL ELSE value END AS value, user_id, event_type FROM frame")
+    return sorted(con.execute(catalog.ORACLES[query]).fetchall())
+
+
+@pytest.mark.parametrize("rows", [3, 1024])
+@pytest.mark.parametrize("name", ["range_pairs_value", "pairs_excluding", "pairs_without_listed", "pairs_groups"])
+def test_listed_pairs_of_odd_rows_equal_their_sql(spark, tmp_path, monkeypatch, name, rows):
+    monkeypatch.setattr(pairs, "PLACE_ROWS", rows)
+    odd_events(spark).write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == pairs_in_sql(odd_events(spark), name)
+
+
+@pytest.mark.parametrize("name", ["range_pairs_value", "pairs_groups"])
+def test_listed_pairs_join_places_and_shuffle_no_pairs(spark, tmp_path, events, name):
+    """Whatever is exchanged or joined on bins has rows of places and not of pairs: 40 copies of 60 rows make 1.2 million pairs."""
+    many = events.where("value IS NOT NULL").crossJoin(spark.range(40)).select((F.col("event_id") + 60 * F.col("id")).alias("event_id"), "value", "user_id", "event_type", F.timestamp_seconds(F.col("value") * 100).alias("ts"))
+    many.write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert found.count() > 100_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__rows" in plan and plan.index("explode(") < plan.index("Join ")  # pairs are made above the join
+    assert "LeftAnti" not in plan
