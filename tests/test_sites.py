@@ -153,7 +153,7 @@ def test_listed_pairs_of_odd_rows_equal_their_sql(spark, tmp_path, monkeypatch,
     assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == pairs_in_sql(odd_events(spark), name)
 
 
-@pytest.mark.parametrize("name", ["range_pairs_value", "pairs_excluding", "pairs_without_listed", "pairs_groups"])
+@pytest.mark.parametrize("name", ["range_pairs_value", "range_pairs_periodic", "pairs_excluding", "pairs_without_listed", "pairs_groups"])
 def test_listed_pairs_join_places_and_shuffle_no_pairs(spark, tmp_path, events, name):
     """Whatever is exchanged or joined on bins has rows of places and not of pairs: 40 copies of 60 rows make 1.2 million pairs."""
     many = events.where("value IS NOT NULL").crossJoin(spark.range(40)).select((F.col("event_id") + 60 * F.col("id")).alias("event_id"), "value", "user_id", "event_type", F.timestamp_seconds(F.col("value") * 100).alias("ts"))
