@@ -148,27 +148,39 @@ class Stretches:
                 k = j
 
 
-def _least(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names, the least value of each, and each input's place among them."""
-    distinct, place = np.unique(names, return_inverse=True)
-    least = np.full(len(distinct), LAST)
-    np.minimum.at(least, place, values)
-    return distinct, least, place
+def _sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts names, and where each distinct one begins in it."""
+    order = np.argsort(names)
+    n = names[order]
+    return order, np.flatnonzero(np.r_[True, n[1:] != n[:-1]][: len(n)])
+
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    """np.unique() by a sort, which is faster than its table of hashes for as many names."""
+    n = np.sort(names)
+    return n[np.r_[True, n[1:] != n[:-1]][: len(n)]]
+
+
+def _places(names: np.ndarray) -> np.ndarray:
+    """Each name's place among the distinct ones."""
+    order, new = _sorted(names)
+    out = np.empty(len(names), dtype=np.int64)
+    out[order] = np.repeat(np.arange(len(new)), np.diff(new, append=len(names)))
+    return out
 
 
 def _several(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names and the least and greatest value of each."""
     if not len(names):
         return names, values, values
-    order = np.argsort(names, kind="stable")
-    n, v = names[order], values[order]
-    new = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
-    return n[new], np.minimum.reduceat(v, new), np.maximum.reduceat(v, new)
+    order, new = _sorted(names)
+    v = values[order]
+    return names[order[new]], np.minimum.reduceat(v, new), np.maximum.reduceat(v, new)
 
 
 def _level_two(row: dict, s: Stretches) -> np.ndarray:
     """Stretches whose bucket holds several documents."""
-    distinct = np.unique(s.gram)
+    distinct = _distinct(s.gram)
     shared = results_of(row["r0"], 1)
     return np.flatnonzero(shared[np.searchsorted(distinct, s.gram)] > 0) if len(distinct) else np.zeros(0, dtype=np.int64)
 
@@ -192,13 +204,12 @@ def _level_three(row: dict, s: Stretches, at: np.ndarray) -> tuple[np.ndarray, n
     none = np.zeros(0, dtype=np.int64)
     if not len(at):
         return at, none, none
-    _, _, place = _least(s.stretch[at], s.owner[at])
-    least = results_of(row["r1"], 1)[place]
+    least = results_of(row["r1"], 1)[_places(s.stretch[at])]
     gone, open_ = at[least < s.owner[at]], np.zeros(len(s.gram), dtype=bool)
     open_[at[least == s.owner[at]]] = True
     lo, hi = s.last.copy(), s.first - 1  # nothing yet
     for level, mine, names in _sides(s, at):
-        distinct = np.unique(names)
+        distinct = _distinct(names)
         mixed = results_of(row["r1"], level)[np.searchsorted(distinct, names)] > 0 if len(names) else np.zeros(0, dtype=bool)
         mine = mine[mixed & open_[mine]]
         middle = s.anchor[mine] - s.half
@@ -219,15 +230,22 @@ def _windows(b: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) ->
     size = last - first + 1
     places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     names = np.empty(len(places), dtype=np.uint64)
-    # Runs of windows that overlap are named together.
+    # Runs of windows that overlap are named together, and the bytes of many runs are put side by side for it: runs are short.
     ends = np.cumsum(size)
     new = np.flatnonzero(np.r_[True, first[1:] > last[:-1] + length])
-    for a, z in zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True):
-        lo, hi = int(first[a]), int(last[z - 1]) + length
-        found = identifiers(b[lo:hi], (32,))[32]
-        i, j = int(ends[a] - size[a]), int(ends[z - 1])
-        p = places[i:j] - lo
-        names[i:j] = mix(found[p], found[p + length - 32])
+    until = np.r_[new[1:], len(first)]
+    lo, width = first[new], last[until - 1] + length - first[new]
+    i, j = ends[new] - size[new], ends[until - 1]
+    begin = np.cumsum(width) - width
+    part = begin // BLOCK
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(new)], strict=True):
+        shift = lo[a:z] - (begin[a:z] - begin[a])
+        at = np.repeat(shift, width[a:z])
+        at += np.arange(len(at))
+        found = identifiers(b[at], (32,))[32]
+        p = places[i[a] : j[z - 1]] - np.repeat(shift, j[a:z] - i[a:z])
+        names[i[a] : j[z - 1]] = mix(found[p], found[p + length - 32])
     return places, names
 
 
@@ -275,7 +293,7 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
     def refined(row: dict) -> list[tuple]:
         s = Stretches(row, length, gram)
         at = _level_two(row, s)
-        stretch, least, _ = _least(s.stretch[at], s.owner[at])
+        stretch, least, _ = _several(s.stretch[at], s.owner[at])
         out = blobs(row["chunk"], 1, stretch, [least, np.zeros(len(stretch), dtype=np.int64)], ranges)
         for level, mine, names in _sides(s, at):
             distinct, low, high = _several(names, _tag(s.stretch[mine]))
@@ -287,7 +305,7 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         gone, lo, hi = _level_three(row, s, _level_two(row, s))
         _, ends, keys = _owners(row)
         places, names = _windows(s.bytes, lo, hi, length)
-        distinct, least, _ = _least(names, keys[np.searchsorted(ends, places, "right")])
+        distinct, least, _ = _several(names, keys[np.searchsorted(ends, places, "right")])
         # What this pass has found stays with the chunk, in rows of no range.
         kept = {-1: s.first[gone], -2: s.last[gone], -3: lo, -4: hi}
         return blobs(row["chunk"], 1, distinct, [least], ranges) + [(-1, row["chunk"], level, b"", pack_ints(np.diff(x, prepend=0))) for level, x in kept.items()]
@@ -311,8 +329,7 @@ def repeats(docs: DataFrame, finish: Callable[[bytes | None, np.ndarray, np.ndar
         gone_first, gone_last, lo, hi = (np.cumsum(results_of(row["r1"], level)) for level in (-1, -2, -3, -4))
         places, names_found = _windows(b, lo, hi, length)
         owner = keys[np.searchsorted(finish_, places, "right")] if len(places) else places
-        _, place = np.unique(names_found, return_inverse=True)
-        places = places[results_of(row["r0"], 1)[place] < owner] if len(places) else places
+        places = places[results_of(row["r0"], 1)[_places(names_found)] < owner] if len(places) else places
         marks = np.zeros(len(b) + 1, dtype=np.int64)
         for starts_, ends_ in ((gone_first, gone_last + length), (places, places + length)):
             np.add.at(marks, starts_, 1)

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from pairfold.llm import decontaminate, jaccard, language, licences, lm, mixing, quality, queries, substrings, tokens
@@ -188,6 +189,19 @@ def test_substrings_equal_brute_force(texts, levels):
     assert rows_of(got, "key", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_windows_of_many_short_runs_are_named_together(monkeypatch):
+    body = np.random.default_rng(3).integers(0, 4, 400_000, dtype=np.uint8)
+    first = np.arange(0, 399_000, 97)
+    last = first + np.arange(len(first)) % 60  # some runs overlap
+    want_places = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last, strict=True)])
+    every = substrings.identifiers(body, (32,))[32]
+    calls, named = [], substrings.identifiers
+    monkeypatch.setattr(substrings, "identifiers", lambda b, sizes: calls.append(len(b)) or named(b, sizes))
+    places, names = substrings._windows(body, first, last, 50)
+    assert np.array_equal(places, want_places) and np.array_equal(names, substrings.mix(every[places], every[places + 18]))
+    assert len(calls) <= 400_000 // substrings.BLOCK + 1 and max(calls) < 2 * substrings.BLOCK
+
+
 def test_substrings_across_blocks(spark):
     """Very long texts are named block by block; repeats may lie across the blocks' ends."""
     rng = random.Random(3)
