@@ -94,7 +94,7 @@ def guarded_arithmetic(spark, d):
     tax, discount = F.col("l_tax"), F.col("l_discount")
     ratio = scalars.divide(tax, discount) + scalars.recip(discount)
     ratio = F.when((discount == 0) & (tax == 0), F.lit(float("inf"))).otherwise(F.when(discount == 0, F.lit(float("inf"))).otherwise(ratio))
-    low = scalars.minimum(tax, F.when(discount == 0, float("nan")).otherwise(discount))
+    low = F.when(discount == 0, F.lit(float("nan"))).otherwise(F.least(tax, discount))  # least() of SQL: NaN is the greatest, null is passed over
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ratio.alias("ratio"), F.when(tax == 0, scalars.log(tax)).otherwise(F.round(scalars.log(tax), 9)).alias("logarithm"), low.alias("low"))
 
 

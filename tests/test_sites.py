@@ -172,3 +172,13 @@ def test_exclusions_of_a_hub_are_held_by_the_others(spark):
     assert held.agg(F.max(F.size("gone"))).first()[0] <= math.sqrt(2 * 199)
     found = pairs.listed_pairs(t, "id", ["x"], CUT, excluded=hub.select(F.col("j").alias("i"), F.col("i").alias("j")))
     assert found.count() == 199 * 198 // 2 and found.where("i = 0").count() == 0
+
+
+def test_guarded_arithmetic_of_odd_lines_equals_its_sql(spark, tmp_path):
+    odd = [None, math.nan, math.inf, 0.0, -0.0, 0.01, 0.08, 0.123456789]
+    rows = [(k, 1, 1, 1, tax, discount) for k, (tax, discount) in enumerate(itertools.product(odd, odd))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_tax double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    plain = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    assert plain(map(tuple, catalog.QUERIES["guarded_arithmetic"](spark, str(tmp_path)).collect())) == plain(con.execute(catalog.ORACLES["guarded_arithmetic"]).fetchall())
