@@ -182,3 +182,15 @@ def test_guarded_arithmetic_of_odd_lines_equals_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     plain = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
     assert plain(map(tuple, catalog.QUERIES["guarded_arithmetic"](spark, str(tmp_path)).collect())) == plain(con.execute(catalog.ORACLES["guarded_arithmetic"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["range_pairs_value", "range_pairs_periodic", "pairs_excluding", "pairs_without_listed", "pairs_groups"])
+def test_two_blocks_make_few_pairs_at_a_time(spark, tmp_path, monkeypatch, events, name):
+    """What meets in the join makes all its pairs before any is passed on: they are to stay few, however many rows are at a place."""
+    many = events.where("value IS NOT NULL").crossJoin(spark.range(400)).select((F.col("event_id") + 60 * F.col("id")).alias("event_id"), "value", "user_id", "event_type", F.timestamp_seconds(F.col("value") * 100).alias("ts"))
+    many.write.parquet(f"{tmp_path}/events.parquet")
+    met, joined = [], pairs.range_pairs
+    monkeypatch.setattr(pairs, "range_pairs", lambda blocks, *more: met.append(blocks) or joined(blocks, *more))
+    catalog.QUERIES[name](spark, str(tmp_path))
+    largest, rows = met[0].agg(F.max(F.size("__rows")), F.sum(F.size("__rows"))).first()
+    assert rows == 24_000 and largest**2 <= 4096
