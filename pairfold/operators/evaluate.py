@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pairfold.functions.expressions import Expression
 from pairfold.functions.scalars import divide
+from pairfold.operators.pairs import near_sums
 from pairfold.operators.reduce import gather_pairs
 
 
@@ -47,6 +48,23 @@ def pair_virial(pairs: DataFrame, potential: str, parameters: dict[str, float],
     return pairs.agg(*(aggregate(F.col(f"d{a}") * force[f"f{b}"]).alias(f"w{a}{b}") for a in axes for b in axes))
 
 
+def soft_forces(entities: DataFrame, key: str, axis: str, stiffness: float, cutoff: float) -> DataFrame:
+    """(key, f<axis>): pair_forces() of ``stiffness/2*(cutoff - r)^2`` among all rows on a line, from sums over sorted rows instead of pairs."""
+    side = F.col("side").cast("double")
+    push = side * F.lit(float(stiffness)) * (F.lit(float(cutoff)) * F.col("n") - F.col("r"))
+    found = near_sums(entities, key, axis, cutoff).groupBy(F.col(key).alias("__by")).agg(F.sum(push).alias("__f"), F.sum("zeros").alias("__zeros"))
+    force = F.when(F.col("__zeros") > 0, F.lit(float("nan"))).otherwise(F.coalesce("__f", F.lit(0.0)))
+    return entities.select(key).join(found, F.col(key) == F.col("__by"), "left").select(key, force.alias(f"f{axis}"))
+
+
+def soft_virial(entities: DataFrame, key: str, axis: str, stiffness: float, cutoff: float) -> DataFrame:
+    """One row: w<axis><axis>, pair_virial() of the potential of soft_forces(); null without a pair."""
+    met = near_sums(entities, key, axis, cutoff, above=False)
+    work = F.lit(float(stiffness)) * (F.lit(float(cutoff)) * F.col("r") - F.col("r2"))
+    sums = met.agg(F.sum(work).alias("w"), F.sum("zeros").alias("zeros"), F.sum("n").alias("n"))
+    return sums.select(F.when(F.col("zeros") > 0, F.lit(float("nan"))).when(F.col("n") > 0, F.col("w")).alias(f"w{axis}{axis}"))
+
+
 def per_frame(frames: DataFrame, frame: str, potential: str, parameters: dict[str, float], derivatives: list[str] = (), aggregate=F.sum) -> DataFrame:
     """(frame, energy, d_<name>...) of rows that belong to frames: the energies and the Jacobian of all frames in one pass."""
     e = Expression.parse(potential)

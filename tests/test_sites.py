@@ -194,3 +194,29 @@ def test_two_blocks_make_few_pairs_at_a_time(spark, tmp_path, monkeypatch, event
     catalog.QUERIES[name](spark, str(tmp_path))
     largest, rows = met[0].agg(F.max(F.size("__rows")), F.sum(F.size("__rows"))).first()
     assert rows == 24_000 and largest**2 <= 4096
+
+
+@pytest.mark.parametrize("name", ["pair_forces", "pair_virial"])
+@pytest.mark.parametrize("odd", [[], [(60, None), (61, math.nan), (62, math.inf), (5, 0.3), (5, 0.02), (7, 0.11), (7, 0.11), (None, 0.4), (63, -0.02), (64, -0.5)], [(1_000_000, 0.5), (1_100_000, 0.49)]])
+def test_soft_sums_of_odd_rows_equal_their_sql(spark, tmp_path, name, odd):
+    """Repeated and null keys, values that are null or not finite or below 0, and two rows of one x."""
+    rows = [(k, round((k * 7 % 97) * 0.013, 3)) for k in range(60)] + odd
+    spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    plain = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    assert plain(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == plain(con.execute(catalog.ORACLES[name]).fetchall())
+
+
+def test_soft_sums_grow_with_rows_and_not_with_pairs(spark, tmp_path):
+    """20,000 rows within a cutoff are 200 million pairs; what is joined, exchanged or added up is four parts a row at most."""
+    t = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 1e-6).alias("x"))
+    parts = pairs.near_sums(t, "k", "x", CUT)
+    assert parts.count() <= 4 * 20_000
+    both = parts.agg(F.sum("n"), F.sum("r"), F.sum("r2")).first()
+    d = [(k, 20_000 - k) for k in range(1, 20_000)]
+    assert both[0] == 2 * sum(n for _, n in d)
+    assert both[1] == pytest.approx(2e-6 * sum(k * n for k, n in d), rel=1e-12) and both[2] == pytest.approx(2e-12 * sum(k * k * n for k, n in d), rel=1e-9)
+    t.select(F.col("k").alias("event_id"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("pair_forces", "pair_virial"):
+        assert "__own" not in catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()  # no pairs of range_pairs()
