@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairfold.functions.scalars import exact_sum
 from pairfold.operators import collection, evaluate, pairs, reduce
-from pairfold.plans import catalog
+from pairfold.plans import algebra, catalog
 from pairfold.streaming import sinks
 
 ROWS = [(k, round((k * 7 % 12) * 0.01, 2), k % 3, ("click", "purchase", "view")[k % 3]) for k in range(60)] + [(60, None, 1, "view")]
@@ -220,3 +220,29 @@ def test_soft_sums_grow_with_rows_and_not_with_pairs(spark, tmp_path):
     t.select(F.col("k").alias("event_id"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
     for name in ("pair_forces", "pair_virial"):
         assert "__own" not in catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()  # no pairs of range_pairs()
+
+
+@pytest.mark.parametrize("rows", [1, 3, 64])
+def test_pairs_of_bins_in_blocks_are_those_of_rows(spark, monkeypatch, rows):
+    from pairfold.functions.geometry import Cell
+
+    monkeypatch.setattr(pairs, "BIN_ROWS", rows)
+    t = spark.createDataFrame([(k, (k * 37 % 101) / 101.0 if k != 9 else None, (k * 59 % 103) / 103.0, (k * 83 % 107) / 107.0, k % 3) for k in range(150)], "k long, x double, y double, z double, m long")
+    for cell in (None, Cell((1.0, 0.4, 1.0)), Cell((1.0, 1.0, 1.0), (0.2, -0.1, 0.1))):
+        more = {"carry": ["m"], "left": F.col("m") < 2, "right": F.col("m") > 0}
+        found = [sorted(map(tuple, pairs.range_pairs(t, "k", ["x", "y", "z"], 0.2, cell, **more, together=flag).collect())) for flag in (False, True)]
+        assert found[0] == found[1] and len(found[0]) > 50
+
+
+@pytest.mark.parametrize("name", ["born_radii", "born_energy"])
+def test_born_queries_with_shared_places_equal_their_sql(spark, tmp_path, name):
+    """Keys a whole period of the places (101 * 103 * 107) apart, of the same and of other radii: their sites are joined, not their rows."""
+    rows = [(k + 1_113_121 * c, (k % 3 if c < 3 else k % 2) + 1, 1.0) for k in range(60) for c in range(5)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    plain = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    assert plain(map(tuple, found.collect())) == plain(con.execute(catalog.ORACLES[name]).fetchall())
+    _, places, _ = algebra._solute(spark, str(tmp_path))
+    assert places.count() < 60 * 3 + 1
